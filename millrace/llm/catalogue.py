@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from millrace.llm.chat import op8_chat, op8_sql
+from millrace.llm.packing import op3_packing
 from millrace.llm.sharding import op9_sharding, op9_sql
+from millrace.llm.toxicity import op4_toxicity
 
 
 def queries() -> dict:
-    return {"op8_chat": op8_chat, "op9_sharding": op9_sharding}
+    return {"op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op8_chat": op8_chat, "op9_sharding": op9_sharding}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from millrace.llm.chat import op8_chat, op8_sql
 from millrace.llm.packing import op3_packing
+from millrace.llm.quality import op10_quality
 from millrace.llm.sharding import op9_sharding, op9_sql
 from millrace.llm.toxicity import op4_toxicity
+from millrace.llm.warc import op6_sql, op6_warc
 
 
 def queries() -> dict:
-    return {"op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op8_chat": op8_chat, "op9_sharding": op9_sharding}
+    return {"op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op6_warc": op6_warc, "op8_chat": op8_chat, "op9_sharding": op9_sharding, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat": op8_sql(), "op9_sharding": op9_sql()}
+    return {"op6_warc": op6_sql(), "op8_chat": op8_sql(), "op9_sharding": op9_sql()}

@@ -17,7 +17,7 @@ fitted on training rows that the models have not seen.
 
 All counts come from all rows.  Trigrams and what lies below are exact; the longer grams are
 counted in tables of fixed size, indexed by hashes.  So the model has the same bounded size
-for any corpus (about 130 MB), while what is gathered for it grows with the rows.  Counts
+for any corpus (about 100 MB), while what is gathered for it grows with the rows.  Counts
 are summed inside the scan's partitions and merged 64 at a time, so no task meets more than
 64 partial tables of 2**16 entries.
 
@@ -31,6 +31,7 @@ columns are not read.
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,7 +52,8 @@ CALIBRATION_ROWS = 20_000  # bound of the sample on which the logistic function
 PAD = 6
 
 #: name: (entries, how to merge)
-TABLES = {"trigram": (1 << 24, "sum")}
+LETTERS = 160  # levelled byte values: 26 letters, digit, space, and what stands above ASCII
+TABLES = {"trigram": (1 << 22, "sum")}
 for _n in (6, 4):
     for _c in "01":
         TABLES |= {f"gram{_n}{_c}": (1 << GRAM_BITS[_n], "sum"), f"context{_n}{_c}": (1 << CONTEXT_BITS[_n], "sum"), f"after{_n}{_c}": (1 << CONTEXT_BITS[_n], "or")}
@@ -63,6 +65,10 @@ _LEVEL = np.full(256, 32, np.uint8)  # punctuation and white space as a space, d
 _LEVEL[128:] = np.arange(128, 256)
 _LEVEL[97:123] = np.arange(97, 123)
 _LEVEL[48:58] = 48
+_INDEX = np.zeros(256, np.int64)
+_INDEX[97:123] = np.arange(1, 27)
+_INDEX[48] = 27
+_INDEX[128:] = np.arange(32, LETTERS)
 
 
 def _slots(h: np.ndarray, bits: int) -> np.ndarray:
@@ -82,11 +88,12 @@ def _grams(a: np.ndarray) -> dict:
     """Slots of grams and contexts that end, or stand before, each byte from ``PAD`` on; the trigrams."""
     b = a.astype(np.uint64)
     at = lambda k: b[PAD - k : len(b) - k]  # noqa: E731  the byte k before
-    tri = (at(2) << np.uint64(16)) | (at(1) << np.uint64(8)) | at(0)
+    index = _INDEX[a]
+    tri = (index[PAD - 2 : -2] * LETTERS + index[PAD - 1 : -1]) * LETTERS + index[PAD:]
     h3 = (at(3) << np.uint64(16)) | (at(2) << np.uint64(8)) | at(1)
     h5 = h3 | (at(4) << np.uint64(24)) | (at(5) << np.uint64(32))
     w = at(0)
-    out = {"trigram": tri.astype(np.int64)}
+    out = {"trigram": tri}
     for n, h in ((4, h3), (6, h5)):
         out[f"context{n}"] = _slots(mix(h + np.uint64(n << 56)), CONTEXT_BITS[n])
         out[f"gram{n}"] = _slots(mix((h << np.uint64(8)) + w + np.uint64(n << 56)), GRAM_BITS[n])
@@ -192,16 +199,14 @@ def _interpolated(n: np.ndarray, lower: np.ndarray) -> np.ndarray:
 
 
 def _finished(tables: dict[str, np.ndarray]) -> Model:
-    """Probabilities from counts; trigrams go through continuation counts, 2**16 at a time."""
-    tri = tables["trigram"].reshape(256, 256, 256)
-    before = np.zeros((256, 256))  # [v, w]: different bytes before the pair v w
-    for first in range(256):
-        before += tri[first] > 0
+    """Probabilities from counts; those of trigrams rest on continuation counts."""
+    tri = tables["trigram"][: LETTERS**3].reshape(LETTERS, LETTERS, LETTERS)
+    before = (tri > 0).sum(axis=0).astype(np.float64)  # [v, w]: different bytes before the pair v w
     single = (before > 0).sum(axis=0).astype(np.float64)
     single = (single + 0.01) / (single + 0.01).sum()
     pair = _interpolated(before, single)
-    shared = np.empty((256, 256, 256), np.float32)
-    for first in range(256):
+    shared = np.empty(tri.shape, np.float32)
+    for first in range(LETTERS):
         shared[first] = _interpolated(tri[first].astype(np.float64), pair)
     model = Model(shared.reshape(-1), {}, {}, {})
     for key in ("60", "61", "40", "41"):
@@ -270,11 +275,22 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def _ship(spark: SparkSession, tables: dict[str, np.ndarray], weights: np.ndarray | None = None, prior: float = 0.5):
+    """A broadcast of the counts, which are mostly zeros and so go compressed; workers make the model from them."""
+    small = {k: v.astype(np.uint8) if v.max() < 256 else v.astype(np.uint32) if v.max() < 1 << 32 else v for k, v in tables.items()}
+    body = zlib.compress(pickle.dumps((small, weights, prior), protocol=5), 1)
+    return spark.sparkContext.broadcast(body)
+
+
 def _model(broadcast) -> Model:
-    if broadcast.value not in _loaded:
+    key = zlib.crc32(broadcast.value)
+    if key not in _loaded:
         _loaded.clear()
-        _loaded[broadcast.value] = pickle.loads(broadcast.value[1])
-    return _loaded[broadcast.value]
+        tables, weights, prior = pickle.loads(zlib.decompress(broadcast.value))
+        model = _finished(tables)
+        model.weights, model.prior = weights, prior
+        _loaded[key] = model
+    return _loaded[key]
 
 
 _loaded: dict = {}
@@ -295,8 +311,8 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, train: Column) ->
     return docs.join(one, docs["doc_id"] == one["label_of"], "left").drop("label_of")
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Model:
-    """Models of both classes from all training rows; ``train`` is a condition on ``label_of``, the document's id."""
+def fit(docs: DataFrame, labels: DataFrame, train: Column):
+    """A broadcast model of both classes from all training rows; ``train`` is a condition on ``label_of``, the document's id."""
     spark = docs.sparkSession
     known = labelled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels, "toxic", train)
     fold = F.pmod(F.crc32(F.concat(F.lit("fold/"), F.col("doc_id").cast("string")).cast("binary")), F.lit(5))
@@ -312,9 +328,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Model:
     tables = {k: np.zeros(n, np.int64) for k, (n, _) in TABLES.items()}
     for row in partial.toLocalIterator():  # tables of fixed size, whatever the input's
         _dense(row["name"], bytes(row["at"]), bytes(row["n"]), tables[_NAMES[row["name"]]][row["block"] << BLOCK_BITS : (row["block"] + 1) << BLOCK_BITS])
-    model = _finished(tables)
-    del tables
-    shared = _ship(spark, model)
+    shared = _ship(spark, tables)
 
     def look(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _model(shared)
@@ -327,21 +341,13 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Model:
     chosen = held.select("doc_id", "label", order.alias("order")).orderBy("order", "doc_id").limit(CALIBRATION_ROWS).select("doc_id").distinct()
     some = held.join(F.broadcast(chosen), "doc_id").select("text", "label").mapInArrow(look, "x array<double>, label int").toPandas()
     y = some["label"].to_numpy(dtype=float) if len(some) else np.zeros(0)
-    model.prior = float((y.sum() + 0.5) / (len(y) + 1.0))
-    if 0 < y.sum() < len(y):
-        model.weights = _logistic(np.stack(some["x"].to_numpy()), y)
     shared.destroy()
-    return model
-
-
-def _ship(spark: SparkSession, model: Model):
-    body = pickle.dumps(model, protocol=5)
-    return spark.sparkContext.broadcast((hash(body), body))
+    prior = float((y.sum() + 0.5) / (len(y) + 1.0))
+    return _ship(spark, tables, _logistic(np.stack(some["x"].to_numpy()), y) if 0 < y.sum() < len(y) else None, prior)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, shared) -> DataFrame:
     """``docs`` (doc_id, text) to doc_id and score."""
-    shared = _ship(docs.sparkSession, model)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _model(shared)
@@ -366,8 +372,8 @@ def remainder(key: Column, n: int) -> Column:
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    model = fit(docs, labels, remainder(F.col("label_of"), 4) != 2)
-    out = score(docs, model)
+    shared = fit(docs, labels, remainder(F.col("label_of"), 4) != 2)
+    out = score(docs, shared)
     return out.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 

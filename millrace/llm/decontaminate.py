@@ -28,6 +28,7 @@ import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -254,14 +255,17 @@ _FOUND_ARROW = pa.schema([(x.split()[0], pa.int64()) for x in _FOUND.split(", ")
 _items: dict[int, Items] = {}
 
 
+def _loaded(shared) -> Items:
+    key = hash(shared.value)
+    if key not in _items:
+        _items.clear()
+        _items[key] = Items(*pickle.loads(shared.value))
+    return _items[key]
+
+
 def _seek(shared):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts = pickle.loads(shared.value)
-        key = hash(shared.value)
-        if key not in _items:
-            _items.clear()
-            _items[key] = Items(ids, texts)
-        items = _items[key]
+        items = _loaded(shared)
         for frame in frames:
             docs, bodies = frame.column(0).to_pylist(), frame.column(1).to_pylist()
             rows = []
@@ -300,9 +304,23 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents in which an item was found; rows with a null doc_id are never found by id and stay."""
-    leaks = find(docs, benchmark).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti")
+    """The rows of ``docs`` in whose text no item is found, with all their columns; nothing is shuffled."""
+    spark = docs.sparkSession
+    for ids, bodies in _blocks(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))):
+        docs = docs.where(~_leaky(spark.sparkContext.broadcast(pickle.dumps((ids, bodies))))(F.col("text").cast("string")))
+    return docs
+
+
+def _leaky(shared):
+    @F.pandas_udf("boolean")
+    def run(column: pd.Series) -> pd.Series:
+        items, texts = _loaded(shared), column.tolist()
+        out = np.zeros(len(texts), bool)
+        for a, b in batches(texts, 1 << 22):
+            out[[a + m[0] for m in matches(items, texts[a:b])]] = True
+        return pd.Series(out)
+
+    return run
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -260,5 +260,16 @@ def join(docs: DataFrame) -> DataFrame:
     return signed.select("doc", "set_a", "set_b").join(about, ["set_a", "set_b"]).select(F.col("doc").alias("doc_id"), "class_id", "links")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each class, that with the smallest doc_id; rows with a null doc_id stay."""
+    found = written(join(docs), "classes")
+    counts = found.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    rows = docs
+    if docs.where(F.col("doc_id").isNotNull()).count() != counts:  # repeated rows
+        rows = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    others = found.where("class_id <> doc_id").select("doc_id")
+    return rows.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -246,33 +247,43 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Column) -> Network:
     return net
 
 
-def score(docs: DataFrame, net: Network) -> DataFrame:
-    """``docs`` (doc_id, text) to doc_id and score."""
-    shared = _ship(docs.sparkSession, net)
+def scorer(spark: SparkSession, net: Network):
+    """A column function: text to score."""
+    shared = _ship(spark, net)
+
+    @F.pandas_udf("double")
+    def run(column: pd.Series) -> pd.Series:
+        own, texts = pickle.loads(shared.value), column.tolist()
+        if own.combine is None or not texts:
+            return pd.Series(np.full(len(texts), own.prior))
+        x = np.concatenate([combined(own, texts[a:b]) for a, b in batches(texts, 1 << 21)])
+        return pd.Series(1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ own.combine, -30, 30))))
+
+    return run
 
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
-            own, x = _whole(shared, frame, 1)
-            if own.combine is None:
-                p = np.full(len(x), own.prior)
-            else:
-                p = 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ own.combine, -30, 30)))
-            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(p)], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+def remainder(key: Column, n: int) -> Column:
+    """CRC-32 of the key as text, modulo ``n``."""
+    return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(n))
+
+
+def trained(docs: DataFrame, labels: DataFrame):
+    """The scorer that the query and the pipeline use: rows with remainder 1 teach it no labels."""
+    return scorer(docs.sparkSession, fit(docs, labels, remainder(F.col("label_of"), 3) != 1))
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    remainder = lambda c: F.pmod(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(3))
-    net = fit(docs, labels, remainder("label_of") != 1)
-    return score(docs, net).select(
-        "doc_id",
-        F.coalesce(remainder("doc_id") == 1, F.lit(False)).alias("held_out"),
-        "score",
-        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+    score = trained(docs, labels)(F.col("text").cast("string"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), score.alias("score")).withColumn(
+        "predicted", (F.col("score") >= THRESHOLD).cast("int")
     )
 
 
+def without_poor(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that reach the threshold, with all their columns."""
+    return docs.where(trained(docs, labels)(F.col("text").cast("string")) >= THRESHOLD)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -36,6 +36,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -346,20 +347,18 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column):
     return _ship(spark, tables, _logistic(np.stack(some["x"].to_numpy()), y) if 0 < y.sum() < len(y) else None, prior)
 
 
-def score(docs: DataFrame, shared) -> DataFrame:
-    """``docs`` (doc_id, text) to doc_id and score."""
+def scorer(shared):
+    """A column function: text to score."""
 
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _model(shared)
-        for frame in frames:
-            x = _features(frame, 1, own)
-            if own.weights is None:
-                p = np.full(len(x), own.prior)
-            else:
-                p = 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ own.weights, -30, 30)))
-            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(p)], names=["doc_id", "score"])
+    @F.pandas_udf("double")
+    def run(column: pd.Series) -> pd.Series:
+        own, texts = _model(shared), column.tolist()
+        if own.weights is None or not texts:
+            return pd.Series(np.full(len(texts), own.prior))
+        x = np.concatenate([features(own, texts[a:b]) for a, b in batches(texts, 1 << 20)])
+        return pd.Series(1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ own.weights, -30, 30))))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return run
 
 
 THRESHOLD = 0.3
@@ -370,11 +369,22 @@ def remainder(key: Column, n: int) -> Column:
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(n))
 
 
+def trained(docs: DataFrame, labels: DataFrame):
+    """The scorer that the query and the pipeline use: rows with remainder 2 teach it no labels."""
+    return scorer(fit(docs, labels, remainder(F.col("label_of"), 4) != 2))
+
+
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    shared = fit(docs, labels, remainder(F.col("label_of"), 4) != 2)
-    out = score(docs, shared)
-    return out.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    score = trained(docs, labels)(F.col("text").cast("string"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), score.alias("score")).withColumn(
+        "predicted", (F.col("score") >= THRESHOLD).cast("int")
+    )
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, with all their columns."""
+    return docs.where(trained(docs, labels)(F.col("text").cast("string")) < THRESHOLD)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ named are read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm._common import table
@@ -35,32 +35,18 @@ def _rendered(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(_head(t), _tail(t))), "")
 
 
-def _pieces(turns: Column) -> Column:
-    """Length and loss flag of each header and body."""
-    return F.flatten(
-        F.transform(
-            turns,
-            lambda t: F.array(
-                F.struct(F.length(_head(t)).alias("n"), F.lit(False).alias("loss")),
-                F.struct(F.length(_tail(t)).alias("n"), (t["role"] == "assistant").alias("loss")),
-            ),
+def _spans(turns: Column) -> Column:
+    """A span for each header and each body.  Turns carry the place where they begin in their pair, in rendered characters."""
+    base = F.element_at(turns, 1)["at"]
+
+    def two(t: Column) -> Column:
+        start, head = t["at"] - base, F.length(_head(t))
+        return F.array(
+            F.struct(start.alias("start"), head.cast("bigint").alias("length"), F.lit(False).alias("loss")),
+            F.struct((start + head).alias("start"), F.length(_tail(t)).cast("bigint").alias("length"), (t["role"] == "assistant").alias("loss")),
         )
-    )
-
 
-def _spans(turns: Column) -> Column:
-    """Spans with their place; the running position is carried through one pass over the pieces."""
-    kind = "array<struct<start:int,length:int,loss:boolean>>"
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    return F.aggregate(
-        _pieces(turns),
-        begin,
-        lambda acc, p: F.struct(
-            (acc["at"] + p["n"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), p["n"].alias("length"), p["loss"].alias("loss")))).cast(kind).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    return F.when(F.size(turns) > 0, F.flatten(F.transform(turns, two))).otherwise(F.array().cast("array<struct<start:bigint,length:bigint,loss:boolean>>"))
 
 
 def shared_turns(a: Column, b: Column) -> Column:
@@ -76,14 +62,19 @@ def format_preferences(turns: DataFrame, pair: Column, side: Column) -> DataFram
     Conversations meet their partner in one shuffle, on the pair; a pair is as long as its
     two conversations, which its row has to hold in any case.
     """
-    turn = F.struct(
+    rows = turns.select(
+        pair.alias("pair_id"),
+        side.alias("is_chosen"),
+        F.col("conv_id").alias("conv"),
         F.col("turn").alias("turn"),
         F.coalesce(F.col("role"), F.lit("")).alias("role"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
-    )
+    ).where(F.col("pair_id").isNotNull())
+    size = F.length(F.lit(OPEN + "\n" + CLOSE)) + F.length("role") + F.length("text")
+    before = Window.partitionBy("pair_id").orderBy("is_chosen", "turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    turn = F.struct("turn", "role", "text", F.coalesce(F.sum(size).over(before), F.lit(0)).alias("at")).alias("t")
     both = (
-        turns.select(pair.alias("pair_id"), side.alias("is_chosen"), F.col("conv_id").alias("conv"), turn.alias("t"))
-        .where(F.col("pair_id").isNotNull())
+        rows.select("pair_id", "is_chosen", "conv", turn)
         .groupBy("pair_id")
         .agg(
             F.min(F.when(F.col("is_chosen"), F.col("conv"))).alias("chosen_id"),

@@ -1,0 +1,41 @@
+"""Registered queries and the pipeline, on the smallest tables."""
+
+import os
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from millrace.llm import catalogue
+from millrace.llm._common import table
+
+TABLES = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="no tables here")
+
+
+@pytest.mark.parametrize("key", sorted(catalogue.oracle_sql()))
+def test_matches(spark, key):
+    con = duckdb.connect()
+    for name in "documents embeddings pages benchmark labels conversations".split():
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{TABLES}/{name}.parquet')")
+    theirs = con.execute(catalogue.oracle_sql()[key])
+    names = [d[0] for d in theirs.description]
+    mine = catalogue.queries()[key](spark, TABLES)
+    assert sorted(mine.columns) == sorted(names)
+    show = lambda rows: sorted(repr([r[c] for c in sorted(names)]) for r in rows)
+    assert show(r.asDict() for r in mine.collect()) == show(dict(zip(names, r, strict=True)) for r in theirs.fetchall())
+
+
+def test_pipeline(spark):
+    docs = table(spark, TABLES, "documents")
+    begun = {r["doc_id"] for r in docs.select("doc_id").collect()}
+    last = None
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, TABLES)
+        if name != "packing":
+            assert set(docs.columns) == {"doc_id", "text", "lang", "source", "n_chars"}
+            kept = {r["doc_id"] for r in docs.select("doc_id").collect()}
+            assert kept <= begun
+            last = kept
+    assert {r["doc_id"] for r in docs.select("doc_id").collect()} == last
+    assert corpus_pipeline.run(spark, TABLES).count() > 0

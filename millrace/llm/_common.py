@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +50,47 @@ def dropped(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+ID_BITS = 23
+
+
+def likely(ids: DataFrame, column: str = "doc_id"):
+    """A condition on ``column`` that is true of every doc_id in ``ids`` and of few others while these are few.
+
+    A bitmap of 2**23 hashes, gathered as at most 256 rows of 4 KB: it spares other texts
+    the way through a shuffle and decides nothing.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << ID_BITS))
+    rows = ids.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    bits = np.zeros(1 << ID_BITS, bool)
+    for row in rows:
+        own = np.unpackbits(np.frombuffer(bytes(row["bits"]), np.uint8), bitorder="little")
+        first = (row["bucket"] - 1) * len(own) + 1  # bucket b holds the values from there on, bucket 0 only 0
+        bits[(first + np.flatnonzero(own)) % (1 << ID_BITS) if row["bucket"] else 0] = True
+    packed = ids.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    @F.pandas_udf("boolean")
+    def run(at: pd.Series) -> pd.Series:
+        value = at.to_numpy()
+        return pd.Series((packed.value[value >> 3] >> (7 - (value & 7)).astype(np.uint8)) & 1 == 1)
+
+    return run(F.pmod(F.xxhash64(column), F.lit(1 << ID_BITS)))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per session, wherever they run."""
+    key = spark.sparkContext.applicationId
+    if key not in _shipped:
+        _shipped.add(key)
+        root = Path(__file__).resolve().parents[2]
+        archive = Path(tempfile.mkdtemp()) / "millrace.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in (root / "millrace").rglob("*.py"):
+                out.write(file, file.relative_to(root))
+        spark.sparkContext.addPyFile(str(archive))
+
+
+_shipped: set[str] = set()
+
 # --- hashed words -------------------------------------------------------------------------
 
 _MULT = 0x9E3779B97F4A7C15

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._common import batches, mix, table, written
+from millrace.llm._common import batches, likely, mix, table, written
 
 GRAM_BITS = {6: 22, 4: 21}
 CONTEXT_BITS = {6: 21, 4: 19}
@@ -85,16 +85,19 @@ def _bytes(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return a, starts, n
 
 
+def _trigrams(a: np.ndarray) -> np.ndarray:
+    index = _INDEX[a]
+    return (index[PAD - 2 : -2] * LETTERS + index[PAD - 1 : -1]) * LETTERS + index[PAD:]
+
+
 def _grams(a: np.ndarray) -> dict:
     """Slots of grams and contexts that end, or stand before, each byte from ``PAD`` on; the trigrams."""
     b = a.astype(np.uint64)
     at = lambda k: b[PAD - k : len(b) - k]  # noqa: E731  the byte k before
-    index = _INDEX[a]
-    tri = (index[PAD - 2 : -2] * LETTERS + index[PAD - 1 : -1]) * LETTERS + index[PAD:]
     h3 = (at(3) << np.uint64(16)) | (at(2) << np.uint64(8)) | at(1)
     h5 = h3 | (at(4) << np.uint64(24)) | (at(5) << np.uint64(32))
     w = at(0)
-    out = {"trigram": tri}
+    out = {"trigram": _trigrams(a)}
     for n, h in ((4, h3), (6, h5)):
         out[f"context{n}"] = _slots(mix(h + np.uint64(n << 56)), CONTEXT_BITS[n])
         out[f"gram{n}"] = _slots(mix((h << np.uint64(8)) + w + np.uint64(n << 56)), GRAM_BITS[n])
@@ -109,8 +112,7 @@ def _positions(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _add(into: np.ndarray, at: np.ndarray) -> None:
-    slots, n = np.unique(at, return_counts=True)
-    into[slots] += n.astype(into.dtype)
+    np.add.at(into, at, into.dtype.type(1))
 
 
 def _or(into: np.ndarray, at: np.ndarray, bits: np.ndarray) -> None:
@@ -118,13 +120,19 @@ def _or(into: np.ndarray, at: np.ndarray, bits: np.ndarray) -> None:
     np.bitwise_or.at(into, (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32))
 
 
-def _count(tables: dict[str, np.ndarray], texts: list, label: list) -> None:
+def _count_all(tables: dict[str, np.ndarray], texts: list, _: list) -> None:
+    """What both classes share."""
+    a, starts, n = _bytes(texts)
+    if n.sum():
+        _add(tables["trigram"], _trigrams(a)[_positions(starts, n)])
+
+
+def _count_classes(tables: dict[str, np.ndarray], texts: list, label: list) -> None:
     a, starts, n = _bytes(texts)
     if not n.sum():
         return
     grams, own = _grams(a), _positions(starts, n)
-    _add(tables["trigram"], grams["trigram"][own])
-    kind = np.repeat(np.array([-1 if x is None else x for x in label]), n)
+    kind = np.repeat(np.array(label), n)
     for c in (0, 1):
         at = own[kind == c]
         if len(at):
@@ -149,18 +157,23 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(_ARROW)], schema=_ARROW)
 
 
-def _count_partition(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tables: dict[str, np.ndarray] = {}
-    for frame in frames:
-        if not tables:
-            tables = {k: np.zeros(n, np.uint32) for k, (n, _) in TABLES.items()}
-        texts, label = frame.column(0).to_pylist(), frame.column(1).to_pylist()
-        for a, b in batches(texts, 1 << 20):
-            _count(tables, texts[a:b], label[a:b])
-    part = TaskContext.get().partitionId()
-    for i, name in enumerate(_NAMES):
-        if name in tables and (rows := list(_sparse(part, i, tables.pop(name)))):
-            yield _rows(rows)
+def _counter(count, names: list[str]):
+    """A task's partial tables: ``count`` fills those of ``names`` from texts and their labels."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[str, np.ndarray] = {}
+        for frame in frames:
+            if not tables:
+                tables = {k: np.zeros(TABLES[k][0], np.uint32) for k in names}
+            texts, label = frame.column(0).to_pylist(), frame.column(1).to_pylist()
+            for a, b in batches(texts, 1 << 20):
+                count(tables, texts[a:b], label[a:b])
+        part = TaskContext.get().partitionId()
+        for name in list(tables):
+            if rows := list(_sparse(part, _NAMES.index(name), tables.pop(name))):
+                yield _rows(rows)
+
+    return run
 
 
 def _dense(name: int, at: bytes, n: bytes, into: np.ndarray) -> None:
@@ -302,23 +315,24 @@ def _features(frame: pa.RecordBatch, column: int, model: Model) -> np.ndarray:
     return np.concatenate([features(model, texts[a:b]) for a, b in batches(texts, 1 << 20)]) if texts else np.zeros((0, FEATURES))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str, train: Column) -> DataFrame:
-    """``docs`` (doc_id, text) with the label of rows for which ``train`` holds, else null.
-
-    The label table is as small as three integers a row; where it is not small enough to be
-    broadcast, Spark joins by shuffle.
-    """
-    one = labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1)).groupBy(F.col("doc_id").alias("label_of")).agg(F.min(column).cast("int").alias("label")).where(train)
-    return docs.join(one, docs["doc_id"] == one["label_of"], "left").drop("label_of")
-
-
 def fit(docs: DataFrame, labels: DataFrame, train: Column):
     """A broadcast model of both classes from all training rows; ``train`` is a condition on ``label_of``, the document's id."""
     spark = docs.sparkSession
-    known = labelled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels, "toxic", train)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    known = (
+        labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
+        .groupBy(F.col("doc_id").cast("long").alias("label_of"))
+        .agg(F.min("toxic").cast("int").alias("label"))
+        .where(train)
+        .select(F.col("label_of").alias("doc_id"), "label")
+    )
     fold = F.pmod(F.crc32(F.concat(F.lit("fold/"), F.col("doc_id").cast("string")).cast("binary")), F.lit(5))
-    counted = known.select("text", F.when(fold != 0, F.col("label")).alias("label"))
-    partial = written(counted.mapInArrow(_count_partition, _SCHEMA), "counts")
+    counted = known.where(fold != 0)
+    # The same join at every size: label tables grow with the corpus.
+    labelled = texts.where(likely(counted)).join(counted.hint("merge"), "doc_id").select("text", "label")
+    shared_names = ["trigram"]
+    every = texts.select("text", F.lit(0).alias("label")).mapInArrow(_counter(_count_all, shared_names), _SCHEMA)
+    partial = written(every, "counts").unionByName(written(labelled.mapInArrow(_counter(_count_classes, [k for k in _NAMES if k not in shared_names]), _SCHEMA), "counts"))
     parts = (partial.agg(F.max("part")).first()[0] or 0) + 1
     while True:
         partial = partial.withColumn("part", F.floor(F.col("part") / TOGETHER)).groupBy("part", "name", "block").applyInArrow(_merge, _SCHEMA)
@@ -337,10 +351,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column):
             x = _features(frame, 0, own)
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), frame.column(1)], names=["x", "label"])
 
-    held = known.where((fold == 0) & F.col("label").isNotNull())
     order = F.crc32(F.concat(F.lit("pick/"), F.col("doc_id").cast("string")).cast("binary"))
-    chosen = held.select("doc_id", "label", order.alias("order")).orderBy("order", "doc_id").limit(CALIBRATION_ROWS).select("doc_id").distinct()
-    some = held.join(F.broadcast(chosen), "doc_id").select("text", "label").mapInArrow(look, "x array<double>, label int").toPandas()
+    chosen = known.where(fold == 0).withColumn("order", order).orderBy("order", "doc_id").limit(CALIBRATION_ROWS).select("doc_id", "label")
+    some = texts.join(F.broadcast(chosen), "doc_id").select("text", "label").mapInArrow(look, "x array<double>, label int").toPandas()
     y = some["label"].to_numpy(dtype=float) if len(some) else np.zeros(0)
     shared.destroy()
     prior = float((y.sum() + 0.5) / (len(y) + 1.0))

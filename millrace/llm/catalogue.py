@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from millrace.llm._common import ship
 from millrace.llm.ann import op7_ann
 from millrace.llm.chat import op8_chat, op8_sql
 from millrace.llm.decontaminate import op1_decontamination
@@ -14,8 +15,17 @@ from millrace.llm.toxicity import op4_toxicity
 from millrace.llm.warc import op6_sql, op6_warc
 
 
+def _shipping(query):
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    return {"op1_decontamination": op1_decontamination, "op2_html": op2_html, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op5_jaccard": op5_jaccard, "op6_warc": op6_warc, "op7_ann": op7_ann, "op8_chat": op8_chat, "op9_sharding": op9_sharding, "op10_quality": op10_quality}
+    own = {"op1_decontamination": op1_decontamination, "op2_html": op2_html, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op5_jaccard": op5_jaccard, "op6_warc": op6_warc, "op7_ann": op7_ann, "op8_chat": op8_chat, "op9_sharding": op9_sharding, "op10_quality": op10_quality}
+    return {name: _shipping(query) for name, query in own.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._common import batches, dropped, mix, scratch, table, windows, word_hashes, written
+from millrace.llm._common import batches, dropped, likely, mix, scratch, table, windows, word_hashes, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 20, 8, 0.995
@@ -239,9 +239,10 @@ def join(docs: DataFrame) -> DataFrame:
     kept = inner.groupBy("size", "shingles", "who1", "who2").agg(F.min(F.struct("tree", "node")).alias("at")).select("at.tree", "at.node", blocks)
     members = written(nodes.join(kept, ["tree", "node"]).select("tree", "node", "rep", "blocks"), "members")
     wanted = members.select("rep").distinct()
-    # Only candidates' texts are read again.
-    packed = texts.join(wanted, texts["doc"] == wanted["rep"], "left_semi").mapInArrow(_pack_sets, "rep long, set_a long, set_b long, own binary")
-    own = sets.join(packed, ["rep", "set_a", "set_b"]).dropDuplicates(["rep"])
+    # Only candidates' texts are read again, and what is shuffled of them is their shingles.
+    likely_texts = texts.where(likely(wanted.withColumnRenamed("rep", "doc_id"), "doc"))
+    packed = likely_texts.mapInArrow(_pack_sets, "rep long, set_a long, set_b long, own binary")
+    own = sets.join(wanted, "rep", "left_semi").hint("merge").join(packed, ["rep", "set_a", "set_b"]).dropDuplicates(["rep"])
     block = F.pmod(F.xxhash64("rep", F.lit(SEED)), F.col("blocks")).cast("int")
     placed = members.withColumn("block", block)
     tasks = F.explode(

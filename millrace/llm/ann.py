@@ -9,7 +9,7 @@ Codes within R are reranked by the exact distance of the original vectors.  R is
 the sample: the distance within which ``WITHIN`` of true neighbours lie.  Queries that
 find too few neighbours are asked again with twice the radius.
 
-Every row is indexed: each Arrow batch of the table builds its index in the task that reads it.
+Every row is indexed: about 2**22 components at a time, in the task that reads them.
 Queries go against it in blocks of ``QUERY_BLOCK``, which are what is broadcast; a task returns
 the best few per query and batch, and a window over the query keeps the best of these.
 
@@ -37,6 +37,7 @@ from millrace.llm._common import scratch, table
 BITS, SUB = 128, 16
 FIT_ROWS, FIT_QUERIES, WITHIN = 4096, 256, 0.99
 QUERY_BLOCK = 4096
+INDEXED = 1 << 22  # components of the vectors in one index
 _POP16 = np.bitwise_count(np.arange(1 << SUB, dtype=np.uint32)).astype(np.uint8)
 
 
@@ -116,18 +117,30 @@ _FOUND = "query_id long, vec_id long, score double"
 _FOUND_ARROW = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
-def _matrix(column: pa.Array, d: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+def _matrix(column: pa.ChunkedArray, d: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+
+
+def _gathered(frames: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches put together until they have so many rows."""
+    some, n = [], 0
+    for frame in frames:
+        if len(frame):
+            some.append(frame)
+            n += len(frame)
+        if n >= rows:
+            yield pa.Table.from_batches(some).combine_chunks()
+            some, n = [], 0
+    if some:
+        yield pa.Table.from_batches(some).combine_chunks()
 
 
 def _search(shared, k: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, radius, query_ids, queries = pickle.loads(shared.value)
         asked = codes.of(queries)
-        for frame in frames:
+        for frame in _gathered(frames, max(1000, INDEXED // queries.shape[1])):
             ids = frame.column(0).to_numpy()
-            if not len(ids):
-                continue
             x = _matrix(frame.column(1), queries.shape[1])
             index = Index(codes.of(x))
             found: list[list] = [[], [], []]

@@ -8,12 +8,12 @@ import zipfile
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -53,27 +53,17 @@ def dropped(spark: SparkSession, path: str) -> None:
 ID_BITS = 23
 
 
-def likely(ids: DataFrame, column: str = "doc_id"):
-    """A condition on ``column`` that is true of every doc_id in ``ids`` and of few others while these are few.
+def likely(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``column`` is in ``ids`` (one column), and few others while these are few.
 
-    A bitmap of 2**23 hashes, gathered as at most 256 rows of 4 KB: it spares other texts
-    the way through a shuffle and decides nothing.
+    A bitmap of 2**23 hashes, 257 rows of 4 KB at most, is broadcast and tested by built-in
+    functions: it spares other rows the way through a shuffle and decides nothing.
     """
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << ID_BITS))
-    rows = ids.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
-    bits = np.zeros(1 << ID_BITS, bool)
-    for row in rows:
-        own = np.unpackbits(np.frombuffer(bytes(row["bits"]), np.uint8), bitorder="little")
-        first = (row["bucket"] - 1) * len(own) + 1  # bucket b holds the values from there on, bucket 0 only 0
-        bits[(first + np.flatnonzero(own)) % (1 << ID_BITS) if row["bucket"] else 0] = True
-    packed = ids.sparkSession.sparkContext.broadcast(np.packbits(bits))
-
-    @F.pandas_udf("boolean")
-    def run(at: pd.Series) -> pd.Series:
-        value = at.to_numpy()
-        return pd.Series((packed.value[value >> 3] >> (7 - (value & 7)).astype(np.uint8)) & 1 == 1)
-
-    return run(F.pmod(F.xxhash64(column), F.lit(1 << ID_BITS)))
+    place = lambda name: F.pmod(F.xxhash64(name), F.lit(1 << ID_BITS))
+    bits = ids.select(place(ids.columns[0]).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("__bits"))
+    marked = df.withColumn("__at", F.bitmap_bit_position(place(column))).withColumn("__bucket", F.bitmap_bucket_number(place(column)))
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(F.col("__at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return marked.join(F.broadcast(bits), "__bucket").where(F.getbit(byte, F.pmod(F.col("__at"), F.lit(8)).cast("int")) == 1).select(*df.columns)
 
 
 def ship(spark: SparkSession) -> None:
@@ -91,6 +81,30 @@ def ship(spark: SparkSession) -> None:
 
 _shipped: set[str] = set()
 
+def small_batches(spark: SparkSession) -> None:
+    """At most 1000 rows to a Python worker at once, as texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+_held: dict = {}
+
+
+def held(kind: str, key: int, make):
+    """A worker's one large object (a model, a tokenizer with its memory): making another lets it go.
+
+    Workers are used again by later stages, so what each stage leaves behind would add up.
+    """
+    if (kind, key) not in _held:
+        _held.clear()
+        _held[kind, key] = make()
+    return _held[kind, key]
+
+
+def free() -> None:
+    """Let the worker's large object go."""
+    _held.clear()
+
+
 # --- hashed words -------------------------------------------------------------------------
 
 _MULT = 0x9E3779B97F4A7C15

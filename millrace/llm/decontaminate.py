@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._common import batches, mix, table, windows, word_hashes
+from millrace.llm._common import batches, held, mix, small_batches, table, windows, word_hashes
 
 MAX_EDITS = 0.2
 SEED_WORDS = 3
@@ -252,15 +253,10 @@ def _exact(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int
 
 _FOUND = "doc_id long, item_id long, first_word long, n_words long, edits long"
 _FOUND_ARROW = pa.schema([(x.split()[0], pa.int64()) for x in _FOUND.split(", ")])
-_items: dict[int, Items] = {}
 
 
 def _loaded(shared) -> Items:
-    key = hash(shared.value)
-    if key not in _items:
-        _items.clear()
-        _items[key] = Items(*pickle.loads(shared.value))
-    return _items[key]
+    return held("items", zlib.crc32(shared.value), lambda: Items(*pickle.loads(shared.value)))
 
 
 def _seek(shared):
@@ -295,6 +291,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[tuple[list, list]]:
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and item found in it: where, how many words, and at how many edits."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out: DataFrame | None = None
     for ids, bodies in _blocks(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))):
@@ -306,6 +303,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in whose text no item is found, with all their columns; nothing is shuffled."""
     spark = docs.sparkSession
+    small_batches(spark)
     for ids, bodies in _blocks(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))):
         docs = docs.where(~_leaky(spark.sparkContext.broadcast(pickle.dumps((ids, bodies))))(F.col("text").cast("string")))
     return docs

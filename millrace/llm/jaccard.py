@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._common import batches, dropped, likely, mix, scratch, table, windows, word_hashes, written
+from millrace.llm._common import batches, dropped, free, likely, mix, scratch, small_batches, table, windows, word_hashes, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 20, 8, 0.995
@@ -85,6 +85,7 @@ _SIGNED = pa.schema([("doc", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.in
 
 def _sign(depth: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free()
         for frame in frames:
             texts = frame.column(1).to_pylist()
             for a, b in batches(texts, 1 << 20):
@@ -107,6 +108,7 @@ _PACKED = pa.schema([("rep", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.in
 
 
 def _pack_sets(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    free()
     for frame in frames:
         texts = frame.column(1).to_pylist()
         for a, b in batches(texts, 1 << 20):
@@ -163,6 +165,7 @@ _LINK_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())
 
 def _verify(key: tuple[pa.Scalar, ...], frame: pa.Table) -> pa.Table:
     """Rows (doc, null, links to other texts, copies counted) and (smallest, doc, null) of a spanning set."""
+    free()
     tree, i, j = key[0].as_py(), key[2].as_py(), key[3].as_py()
     order = np.argsort(frame.column("doc").to_numpy(), kind="stable")
     docs = frame.column("doc").to_numpy()[order]
@@ -227,6 +230,7 @@ def components(pairs: DataFrame) -> DataFrame:
 def join(docs: DataFrame) -> DataFrame:
     """One row per document of ``docs`` (doc_id, text): doc_id, class_id (the smallest doc_id of its class), links."""
     depth = matched_depth()
+    small_batches(docs.sparkSession)
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
     every = texts.mapInArrow(_sign(depth), "doc long, set_a long, set_b long, n long, trees array<long>")
     signed = written(every.groupBy("doc").agg(F.min(F.struct("set_a", "set_b", "n", "trees")).alias("s")).select("doc", "s.*"), "signed")
@@ -240,8 +244,7 @@ def join(docs: DataFrame) -> DataFrame:
     members = written(nodes.join(kept, ["tree", "node"]).select("tree", "node", "rep", "blocks"), "members")
     wanted = members.select("rep").distinct()
     # Only candidates' texts are read again, and what is shuffled of them is their shingles.
-    likely_texts = texts.where(likely(wanted.withColumnRenamed("rep", "doc_id"), "doc"))
-    packed = likely_texts.mapInArrow(_pack_sets, "rep long, set_a long, set_b long, own binary")
+    packed = likely(texts, "doc", wanted).mapInArrow(_pack_sets, "rep long, set_a long, set_b long, own binary")
     own = sets.join(wanted, "rep", "left_semi").hint("merge").join(packed, ["rep", "set_a", "set_b"]).dropDuplicates(["rep"])
     block = F.pmod(F.xxhash64("rep", F.lit(SEED)), F.col("blocks")).cast("int")
     placed = members.withColumn("block", block)

@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from millrace.llm._common import table, written
+from millrace.llm._common import held, small_batches, table, written
 
 TIERS = (256, 512, 1024, 2048)
 END = 1
 STEP_TOKENS = 64 * TIERS[-1]
 POOL_TOKENS = 1 << 20  # ids that wait for a window at once
-CACHE = 600_000  # distinct chunks or words kept by a worker
+CACHE = 300_000  # distinct chunks or words kept by a worker
 LEFT_TOGETHER = 64  # partitions whose leftovers are packed together
 
 # The word pattern of the tokenizer file, and what its byte-level step prints for each byte.
@@ -103,15 +103,9 @@ class _Chunks(dict):
         return ids
 
 
-_encoders: dict[int, Encoder] = {}
-
-
 def encoder(spec: str) -> Encoder:
     """The worker's encoder for a tokenizer file's text."""
-    key = zlib.crc32(spec.encode())
-    if key not in _encoders:
-        _encoders[key] = Encoder(spec)
-    return _encoders[key]
+    return held("encoder", zlib.crc32(spec.encode()), lambda: Encoder(spec))
 
 
 class Packer:
@@ -238,6 +232,7 @@ def _pack_left(key: tuple[pa.Scalar, ...], frame: pa.Table) -> pa.Table:
 def pack(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """One row per piece; ``tier`` is the size of its window and ``step_group`` the group of windows it trains with."""
     spark = docs.sparkSession
+    small_batches(spark)
     with open(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
         spec = spark.sparkContext.broadcast(file.read())
     pieces = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pack_partition(spec), _OUT), "pieces")

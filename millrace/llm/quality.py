@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._common import batches, table
+from millrace.llm._common import batches, free, small_batches, table
 
 CHUNK, APART, WIDTH, STEP = 256, 192, 8, 2
 BLOCK = 64  # chunk and distance are multiples of it
@@ -210,6 +210,7 @@ def _whole(shared, frame: pa.RecordBatch, column: int) -> tuple[Network, np.ndar
 def fit(docs: DataFrame, labels: DataFrame, train_on: Column) -> Network:
     """A network from a sample of the rows for which ``train_on``, a condition on ``label_of``, holds."""
     spark = docs.sparkSession
+    small_batches(spark)
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
         .groupBy(F.col("doc_id").cast("long").alias("label_of"))
@@ -253,6 +254,7 @@ def scorer(spark: SparkSession, net: Network):
 
     @F.pandas_udf("double")
     def run(column: pd.Series) -> pd.Series:
+        free()
         own, texts = pickle.loads(shared.value), column.tolist()
         if own.combine is None or not texts:
             return pd.Series(np.full(len(texts), own.prior))

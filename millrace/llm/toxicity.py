@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._common import batches, likely, mix, table, written
+from millrace.llm._common import batches, free, held, likely, mix, small_batches, table, written
 
 GRAM_BITS = {6: 22, 4: 21}
 CONTEXT_BITS = {6: 21, 4: 19}
@@ -161,6 +161,7 @@ def _counter(count, names: list[str]):
     """A task's partial tables: ``count`` fills those of ``names`` from texts and their labels."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free()
         tables: dict[str, np.ndarray] = {}
         for frame in frames:
             if not tables:
@@ -291,33 +292,31 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _ship(spark: SparkSession, tables: dict[str, np.ndarray], weights: np.ndarray | None = None, prior: float = 0.5):
     """A broadcast of the counts, which are mostly zeros and so go compressed; workers make the model from them."""
-    small = {k: v.astype(np.uint8) if v.max() < 256 else v.astype(np.uint32) if v.max() < 1 << 32 else v for k, v in tables.items()}
-    body = zlib.compress(pickle.dumps((small, weights, prior), protocol=5), 1)
+    small = {k: zlib.compress(v.astype(np.uint8) if v.max() < 256 else v, 1) for k, v in tables.items()}
+    body = pickle.dumps((small, {k: v.max() < 256 for k, v in tables.items()}, weights, prior), protocol=5)
     return spark.sparkContext.broadcast(body)
 
 
 def _model(broadcast) -> Model:
-    key = zlib.crc32(broadcast.value)
-    if key not in _loaded:
-        _loaded.clear()
-        tables, weights, prior = pickle.loads(zlib.decompress(broadcast.value))
-        model = _finished(tables)
+    def make() -> Model:
+        small, bytewise, weights, prior = pickle.loads(broadcast.value)
+        kinds = {k: np.uint8 if bytewise[k] else np.uint32 if TABLES[k][1] == "or" else np.float32 for k in small}
+        model = _finished({k: np.frombuffer(zlib.decompress(v), kinds[k]) for k, v in small.items()})
         model.weights, model.prior = weights, prior
-        _loaded[key] = model
-    return _loaded[key]
+        return model
 
-
-_loaded: dict = {}
+    return held("toxicity", zlib.crc32(broadcast.value), make)
 
 
 def _features(frame: pa.RecordBatch, column: int, model: Model) -> np.ndarray:
     texts = frame.column(column).to_pylist()
-    return np.concatenate([features(model, texts[a:b]) for a, b in batches(texts, 1 << 20)]) if texts else np.zeros((0, FEATURES))
+    return np.concatenate([features(model, texts[a:b]) for a, b in batches(texts, 1 << 19)]) if texts else np.zeros((0, FEATURES))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column):
     """A broadcast model of both classes from all training rows; ``train`` is a condition on ``label_of``, the document's id."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
@@ -329,7 +328,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column):
     fold = F.pmod(F.crc32(F.concat(F.lit("fold/"), F.col("doc_id").cast("string")).cast("binary")), F.lit(5))
     counted = known.where(fold != 0)
     # The same join at every size: label tables grow with the corpus.
-    labelled = texts.where(likely(counted)).join(counted.hint("merge"), "doc_id").select("text", "label")
+    labelled = likely(texts, "doc_id", counted.select("doc_id")).join(counted.hint("merge"), "doc_id").select("text", "label")
     shared_names = ["trigram"]
     every = texts.select("text", F.lit(0).alias("label")).mapInArrow(_counter(_count_all, shared_names), _SCHEMA)
     partial = written(every, "counts").unionByName(written(labelled.mapInArrow(_counter(_count_classes, [k for k in _NAMES if k not in shared_names]), _SCHEMA), "counts"))
@@ -340,7 +339,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column):
         if parts <= 1:
             break
         partial = written(partial, "counts")
-    tables = {k: np.zeros(n, np.int64) for k, (n, _) in TABLES.items()}
+    tables = {k: np.zeros(n, np.uint32 if how == "or" else np.float32) for k, (n, how) in TABLES.items()}  # counts beyond 2**24 are rounded
     for row in partial.toLocalIterator():  # tables of fixed size, whatever the input's
         _dense(row["name"], bytes(row["at"]), bytes(row["n"]), tables[_NAMES[row["name"]]][row["block"] << BLOCK_BITS : (row["block"] + 1) << BLOCK_BITS])
     shared = _ship(spark, tables)
@@ -368,7 +367,7 @@ def scorer(shared):
         own, texts = _model(shared), column.tolist()
         if own.weights is None or not texts:
             return pd.Series(np.full(len(texts), own.prior))
-        x = np.concatenate([features(own, texts[a:b]) for a, b in batches(texts, 1 << 20)])
+        x = np.concatenate([features(own, texts[a:b]) for a, b in batches(texts, 1 << 19)])
         return pd.Series(1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ own.weights, -30, 30))))
 
     return run

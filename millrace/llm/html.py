@@ -26,6 +26,7 @@ import math
 import pickle
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -217,6 +218,12 @@ def features(nodes: list[Node], odds: dict[str, float]) -> list[tuple[float, ...
     total = max(1, nodes[0].chars)
     log = math.log1p
     low, high = [0.0] * len(nodes), [0.0] * len(nodes)
+    places, sames = [0.5] * len(nodes), [1.0] * len(nodes)
+    for node in nodes:
+        n, tags = len(node.children), Counter(c.tag for c in node.children)
+        if n > 1:
+            for k, c in enumerate(node.children):
+                places[c.index], sames[c.index] = k / n, tags[c.tag] / n
     out = []
     for node in nodes:
         scores = [odds.get(t, 0.0) for t in node.tokens]
@@ -224,10 +231,7 @@ def features(nodes: list[Node], odds: dict[str, float]) -> list[tuple[float, ...
         worst, best = min(scores), max(scores)
         if up:
             low[node.index], high[node.index] = min(low[up.index], worst), max(high[up.index], best)
-            siblings = up.children
-            n = len(siblings)
-            place = siblings.index(node) / n if n > 1 and n <= 64 else 0.5
-            same = sum(s.tag == node.tag for s in siblings) / n if n <= 64 else 1.0
+            n, place, same = len(up.children), places[node.index], sames[node.index]
             share, around = node.chars / max(1, up.chars), (up.chars - up.own) / n
             above_low, above_high = low[up.index], high[up.index]
         else:

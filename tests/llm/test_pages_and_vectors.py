@@ -54,6 +54,17 @@ def test_decoding_never_contradicts():
             assert len(inner) == len(n.children)
 
 
+@pytest.mark.parametrize("n", [1, 2, 64, 65, 300])
+def test_siblings_of_any_number(n):
+    """Place and share of equal tags, as a plain loop counts them."""
+    nodes, _ = html.parse("<article>" + "<p>words</p>" * (n - n // 2) + "<div>words</div>" * (n // 3) + "<h2>words</h2>" * (n // 2 - n // 3) + "</article>")
+    rows, children = html.features(nodes, {}), nodes[1].children
+    assert len(children) == n
+    for k, c in enumerate(children):
+        assert rows[c.index][12] == (k / n if n > 1 else 0.5)
+        assert rows[c.index][14] == sum(s.tag == c.tag for s in children) / n
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p>cut <b"), (4, "u", "<" * 5000), (5, "u", "<div>" * 3000 + "deep"), (6, "u", "<article><p>" + "word " * 60000 + "</p></article>"), (6, "u", "<article><p>x y z.</p></article>"), (None, "u", PAGE)]
     got = html.main_text(pages(spark, rows)).collect()

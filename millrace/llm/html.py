@@ -175,7 +175,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                 continue
             if tag in ("html", "body"):
                 continue
-            node = Node(tag, open_, _tokens(tag, m[3].lower() if len(m[3]) < 2000 else ""), total)
+            tokens = _tokens if len(m[3]) < 2000 else _tokens.__wrapped__  # long ones aren't remembered
+            node = Node(tag, open_, tokens(tag, m[3].lower()), total)
             open_.children.append(node)
             nodes.append(node)
             if not m[3].endswith("/"):

@@ -65,6 +65,15 @@ def test_siblings_of_any_number(n):
         assert rows[c.index][14] == sum(s.tag == c.tag for s in children) / n
 
 
+@pytest.mark.parametrize("n", [0, 1900, 2100, 100_000])
+def test_attributes_of_any_length(n):
+    """Tokens of a tag count whatever else it carries, and however much."""
+    kept = html._tokens.cache_info().currsize
+    nodes, _ = html.parse(f'<div data-x="{"9" * n}" class="advert box" id=Rail{n} style="display: none"><p>text</p></div>')
+    assert nodes[1].tokens == ("div", "advert", "box", "rail", "hidden")
+    assert html._tokens.cache_info().currsize - kept <= (2 if n < 2000 else 1)
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p>cut <b"), (4, "u", "<" * 5000), (5, "u", "<div>" * 3000 + "deep"), (6, "u", "<article><p>" + "word " * 60000 + "</p></article>"), (6, "u", "<article><p>x y z.</p></article>"), (None, "u", PAGE)]
     got = html.main_text(pages(spark, rows)).collect()

@@ -13,7 +13,8 @@ so an expression that a class has never met is judged by the counts that both sh
 Bytes rather than words, as offensive stems come with many endings.  A text is read whole,
 in lower case, with digits and punctuation levelled; its score is a logistic function of
 length-normalised log-likelihood ratios, of the whole text and of its most toxic windows,
-fitted on training rows that the models have not seen.
+fitted on training rows that the models have not seen.  Once it is fitted, those rows' counts
+are added too.
 
 All counts come from all rows.  Trigrams and what lies below are exact; the longer grams are
 counted in tables of fixed size, indexed by hashes.  So the model has the same bounded size
@@ -49,6 +50,7 @@ CONTEXT_BITS = {6: 21, 4: 19}
 BLOCK_BITS = 16
 DISCOUNT = 0.75
 TOGETHER = 64
+WAITING = 1 << 23
 CALIBRATION_ROWS = 20_000  # bound of the sample on which the logistic function is fitted
 PAD = 6
 
@@ -158,21 +160,44 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _counter(count, names: list[str]):
-    """A task's partial tables: ``count`` fills those of ``names`` from texts and their labels."""
+    """A task's partial tables: ``count`` fills those of ``names`` from texts and their labels.
+
+    Rows that join the model ``later`` have tables by themselves, whose names are ``len(_NAMES)``
+    further on.  They wait until the others are counted, or are more than ``WAITING`` characters,
+    so a task holds the tables once.
+    """
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free()
+        part = TaskContext.get().partitionId()
         tables: dict[str, np.ndarray] = {}
-        for frame in frames:
-            if not tables:
-                tables = {k: np.zeros(TABLES[k][0], np.uint32) for k in names}
-            texts, label = frame.column(0).to_pylist(), frame.column(1).to_pylist()
+        waiting: list[tuple] = []
+
+        def add(rows: list[tuple]) -> None:
+            if rows and not tables:
+                tables.update({k: np.zeros(TABLES[k][0], np.uint32) for k in names})
+            texts, label = [t for t, _ in rows], [c for _, c in rows]
             for a, b in batches(texts, 1 << 20):
                 count(tables, texts[a:b], label[a:b])
-        part = TaskContext.get().partitionId()
-        for name in list(tables):
-            if rows := list(_sparse(part, _NAMES.index(name), tables.pop(name))):
-                yield _rows(rows)
+
+        def emptied(later: bool) -> Iterator[pa.RecordBatch]:
+            for name in list(tables):
+                if rows := list(_sparse(part, _NAMES.index(name) + later * len(_NAMES), tables.pop(name))):
+                    yield _rows(rows)
+
+        def turned() -> Iterator[pa.RecordBatch]:
+            yield from emptied(False)
+            add(waiting)
+            waiting.clear()
+            yield from emptied(True)
+
+        for frame in frames:
+            rows = list(zip(*(frame.column(i).to_pylist() for i in range(3)), strict=True))
+            add([row[:2] for row in rows if not row[2]])
+            waiting += [row[:2] for row in rows if row[2]]
+            if sum(len(t or "") for t, _ in waiting) > WAITING:
+                yield from turned()
+        yield from turned()
 
     return run
 
@@ -180,7 +205,7 @@ def _counter(count, names: list[str]):
 def _dense(name: int, at: bytes, n: bytes, into: np.ndarray) -> None:
     where = np.frombuffer(at, np.uint16)
     values = np.frombuffer(n, {1: np.uint8, 4: np.uint32, 8: np.int64}[n[0]], offset=1) if n[0] == 1 else np.frombuffer(n[1:], {4: np.uint32, 8: np.int64}[n[0]])
-    if TABLES[_NAMES[name]][1] == "or":
+    if TABLES[_NAMES[name % len(_NAMES)]][1] == "or":
         into[where] |= values.astype(into.dtype)
     else:
         into[where] += values.astype(into.dtype)
@@ -326,22 +351,24 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column):
         .select(F.col("label_of").alias("doc_id"), "label")
     )
     fold = F.pmod(F.crc32(F.concat(F.lit("fold/"), F.col("doc_id").cast("string")).cast("binary")), F.lit(5))
-    counted = known.where(fold != 0)
     # The same join at every size: label tables grow with the corpus.
-    labelled = likely(texts, "doc_id", counted.select("doc_id")).join(counted.hint("merge"), "doc_id").select("text", "label")
-    shared_names = ["trigram"]
-    every = texts.select("text", F.lit(0).alias("label")).mapInArrow(_counter(_count_all, shared_names), _SCHEMA)
-    partial = written(every, "counts").unionByName(written(labelled.mapInArrow(_counter(_count_classes, [k for k in _NAMES if k not in shared_names]), _SCHEMA), "counts"))
+    labelled = likely(texts, "doc_id", known.select("doc_id")).join(known.hint("merge"), "doc_id").select("text", "label", (fold == 0).alias("later"))
+    every = texts.select("text", F.lit(0).alias("label"), F.lit(False).alias("later")).mapInArrow(_counter(_count_all, ["trigram"]), _SCHEMA)
+    partial = written(every, "counts").unionByName(written(labelled.mapInArrow(_counter(_count_classes, [k for k in _NAMES if k != "trigram"]), _SCHEMA), "counts"))
     parts = (partial.agg(F.max("part")).first()[0] or 0) + 1
     while True:
-        partial = partial.withColumn("part", F.floor(F.col("part") / TOGETHER)).groupBy("part", "name", "block").applyInArrow(_merge, _SCHEMA)
+        partial = written(partial.withColumn("part", F.floor(F.col("part") / TOGETHER)).groupBy("part", "name", "block").applyInArrow(_merge, _SCHEMA), "counts")
         parts = -(-parts // TOGETHER)
         if parts <= 1:
             break
-        partial = written(partial, "counts")
     tables = {k: np.zeros(n, np.uint32 if how == "or" else np.float32) for k, (n, how) in TABLES.items()}  # counts beyond 2**24 are rounded
-    for row in partial.toLocalIterator():  # tables of fixed size, whatever the input's
-        _dense(row["name"], bytes(row["at"]), bytes(row["n"]), tables[_NAMES[row["name"]]][row["block"] << BLOCK_BITS : (row["block"] + 1) << BLOCK_BITS])
+
+    def take(those: Column) -> None:
+        for row in partial.where(those).toLocalIterator():  # tables of fixed size, whatever the input's
+            name = _NAMES[row["name"] % len(_NAMES)]
+            _dense(row["name"], bytes(row["at"]), bytes(row["n"]), tables[name][row["block"] << BLOCK_BITS : (row["block"] + 1) << BLOCK_BITS])
+
+    take(F.col("name") < len(_NAMES))
     shared = _ship(spark, tables)
 
     def look(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,6 +382,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column):
     some = texts.join(F.broadcast(chosen), "doc_id").select("text", "label").mapInArrow(look, "x array<double>, label int").toPandas()
     y = some["label"].to_numpy(dtype=float) if len(some) else np.zeros(0)
     shared.destroy()
+    take(F.col("name") >= len(_NAMES))
     prior = float((y.sum() + 0.5) / (len(y) + 1.0))
     return _ship(spark, tables, _logistic(np.stack(some["x"].to_numpy()), y) if 0 < y.sum() < len(y) else None, prior)
 

@@ -1,5 +1,6 @@
 """Toxicity and quality: accuracy on texts not trained on, and odd input."""
 
+import pickle
 import random
 import zlib
 
@@ -61,6 +62,24 @@ def test_toxicity_counts_match_brute_force():
     assert tables["gram60"].sum() == 5 and tables["gram61"].sum() == 3 and tables["context40"].sum() == 5
 
 
+@pytest.mark.parametrize("waiting", [None, 2000])
+def test_toxicity_counts_all_training_rows(spark, monkeypatch, waiting):
+    """The class counts that score are those of all training rows, the calibration's too, and of no other row."""
+    if waiting:
+        monkeypatch.setattr(toxicity, "WAITING", waiting)
+    rows, labels = toxic_corpus(300)
+    shared = toxicity.fit(documents(spark, rows).repartition(3), label_table(spark, labels), toxicity.remainder(F.col("label_of"), 4) != 2)
+    small, bytewise, weights, _ = pickle.loads(shared.value)
+    want = {k: np.zeros(n, np.uint32) for k, (n, _) in toxicity.TABLES.items()}
+    train = [i for i, _ in rows if remainder(i, 4) != 2]
+    toxicity._count_classes(want, [rows[i][1] for i in train], [labels[i][2] for i in train])
+    assert weights is not None
+    for name in want:
+        if name != "trigram":
+            kind = np.uint8 if bytewise[name] else np.uint32 if toxicity.TABLES[name][1] == "or" else np.float32
+            assert np.array_equal(np.frombuffer(zlib.decompress(small[name]), kind), want[name])
+
+
 @pytest.mark.parametrize("labels", [[], [(0, 1, 0), (1, 1, 0)]])
 def test_toxicity_without_both_classes(spark, labels):
     got = toxicity.judged(documents(spark, [(0, "a"), (1, "b c"), (2, None)]), label_table(spark, labels)).collect()

@@ -1,10 +1,11 @@
-"""N-gram Jaccard join: a MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join: banded MinHash LSH, then exact verification.
 
 A document is the set of its five-word shingles (the whole text where it has fewer words).
-Texts with the same set are one text with copies.  Each text gets ``TREES`` MinHash labels of
-``DEPTH`` values; a tree is the trie of the labels.  Starting from whole labels, the matched
-prefix is shortened until texts at the threshold meet in some tree with the target
-probability (``matched_depth``); the texts below one trie node are candidates of each other.
+Texts with the same set are one text with copies.  Each text gets ``TREES`` labels of MinHash
+values.  Their length is fixed before any text is read: the longest, ``DEPTH`` at most, by which
+texts at the threshold meet in some tree with the target probability (``matched_depth``, 6 here).
+A label is kept as one hash, a node; texts with an equal node are candidates of each other.  There
+is no forest: no tries of longer labels, and no prefix that is shortened by what the texts are.
 
 Nodes that hold the same texts as a node of an earlier tree are dropped.  The others' texts
 are read again and compared exactly, each pair in the first tree in which it meets.  A node's

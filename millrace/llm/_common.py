@@ -89,7 +89,7 @@ def small_batches(spark: SparkSession) -> None:
 _held: dict = {}
 
 
-def held(kind: str, key: int, make):
+def held(kind: str, key, make):
     """A worker's one large object (a model, a tokenizer with its memory): making another lets it go.
 
     Workers are used again by later stages, so what each stage leaves behind would add up.

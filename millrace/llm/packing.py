@@ -19,6 +19,7 @@ text are read, so further columns don't matter.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
 from array import array
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 import public_tokenizers
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,73 +41,113 @@ TIERS = (256, 512, 1024, 2048)
 END = 1
 STEP_TOKENS = 64 * TIERS[-1]
 POOL_TOKENS = 1 << 20  # ids that wait for a window at once
-CACHE = 300_000  # distinct chunks or words kept by a worker
+CACHE = 300_000  # distinct chunks and words kept by a worker
 LEFT_TOGETHER = 64  # partitions whose leftovers are packed together
 
 # The word pattern of the tokenizer file, and what its byte-level step prints for each byte.
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD = regex.compile(PATTERN)
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(_PRINTED))}
 
 # Characters on which this module's splitting provably agrees with the tokenizer's.
 _PLAIN = regex.compile(r"[\x21-\x7E¡-įı-ſ‐-‧€]+")
 _ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+WORD_END = "</w>"
+_END_BYTE = b"\xff"  # in no UTF-8
 
 
-class Encoder:
-    """Token ids of texts, as little-endian unsigned 32-bit bytes.
+def merge_ranks(spec: dict) -> dict[bytes, int] | None:
+    """The file's merges as ranks over bytes, where a word's end is a byte of its own; None if the file isn't of that kind.
 
-    The tokenizer never looks across white space, so the ids of each distinct chunk are
-    found once and remembered, in a cache of bounded size.
+    A merge of the file joins two given symbols, a rank joins any two that spell its token.  Both
+    are the same here: within a token's stretch merges go as they would if it stood alone, so the
+    last two symbols are always those of its own merge, if the token alone comes out as itself.
+    That is tested for each token, and so is that later merges have larger ids.
+    """
+    steps, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    split = (steps.get("pretokenizers") or [{}])[0]
+    if split.get("pattern") != {"Regex": PATTERN} or model["type"] != "BPE" or model.get("end_of_word_suffix") != WORD_END or model.get("dropout"):
+        return None
+    byte, vocab = {c: b for b, c in BYTE_CHARS.items()}, model["vocab"]
+    merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    order = {m: k for k, m in enumerate(merges)}
+    ranks = {bytes([b]): vocab[c] for b, c in BYTE_CHARS.items()} | {bytes([b]) + _END_BYTE: vocab[c + WORD_END] for b, c in BYTE_CHARS.items() if b != 255}
+    last = max(ranks.values())
+    for merge in merges:
+        token = "".join(merge)
+        word = token.removesuffix(WORD_END)
+        symbols = list(word)
+        symbols[-1] += token[len(word) :]
+        while len(symbols) > 1:
+            at = min(range(len(symbols) - 1), key=lambda i: order.get((symbols[i], symbols[i + 1]), len(order)))
+            if (symbols[at], symbols[at + 1]) not in order:
+                return None
+            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+        if vocab[token] <= last:
+            return None
+        last = vocab[token]
+        ranks[bytes([byte[c] for c in word]) + (_END_BYTE if token != word else b"")] = last
+    return ranks
+
+
+class Encoder(dict):
+    """Token ids of texts, as little-endian unsigned 32-bit bytes; the ids of chunks and words by their text.
+
+    The tokenizer never looks across white space, so the ids of each distinct chunk are found
+    once and remembered.  What hasn't been asked for lately is forgotten: when the newer half of
+    the memory is full, it becomes the older one.
     """
 
-    def __init__(self, spec: str) -> None:
+    def __init__(self, spec: str, ranks: dict[bytes, int] | None) -> None:
+        super().__init__()
         self.tokenizer = Tokenizer.from_str(spec)
-        self.model = self.tokenizer.model
-        self.words: dict[str, bytes] = {}
-        self.chunks = _Chunks(self)
+        self.ranked = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe if ranks else None
+        self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self.chunk(chunk)
+        if len(self) >= CACHE // 2:
+            self.older = dict(self)
+            self.clear()
+        self[chunk] = ids
+        return ids
+
     def word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            spelled = "".join([BYTE_CHARS[b] for b in word.encode()])
-            found = self.words[word] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-        return found
+        return array("I", self.ranked.encode_single_piece(word.encode() + _END_BYTE)).tobytes()
 
     def chunk(self, chunk: str) -> bytes:
-        if not _PLAIN.fullmatch(chunk) or "<|" in chunk:
+        if chunk.isascii():
+            if not chunk.isprintable() or "<|" in chunk:
+                return self.whole(chunk)
+            plain = chunk.lower()
+        elif _PLAIN.fullmatch(chunk) and "<|" not in chunk:
+            plain = unicodedata.normalize("NFC", chunk).lower()
+        else:
             return self.whole(chunk)
-        plain = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)
-        return b"".join([self.word(w) for w in WORD.findall(plain.lower())])
+        if plain.isalpha():
+            return self.word(plain) if plain == chunk else self[plain]
+        stem = plain.rstrip(_MARKS)
+        words = [stem, plain[len(stem) :]] if stem.isalpha() else WORD.findall(plain)
+        return b"".join([self.word(w) if w == chunk else self[w] for w in words])
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _ODD_SPACE.search(text):
+        if self.ranked is None or _ODD_SPACE.search(text):
             return self.whole(text)
-        return b"".join(map(self.chunks.__getitem__, text.split()))
-
-
-class _Chunks(dict):
-    def __init__(self, encoder: Encoder) -> None:
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        ids = self[chunk] = self.encoder.chunk(chunk)
-        return ids
+        return b"".join(map(self.__getitem__, text.split()))
 
 
-def encoder(spec: str) -> Encoder:
-    """The worker's encoder for a tokenizer file's text."""
-    return held("encoder", zlib.crc32(spec.encode()), lambda: Encoder(spec))
+def encoder(spec: str, ranks: dict[bytes, int] | None) -> Encoder:
+    """The worker's encoder for a tokenizer file's text and its ``merge_ranks``."""
+    return held("encoder", spec, lambda: Encoder(spec, ranks))
 
 
 class Packer:
@@ -205,7 +247,7 @@ def _drained(packer: Packer, part: int) -> Iterator[pa.RecordBatch]:
 
 def _pack_partition(spec):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, packer, part, end = encoder(spec.value), Packer(), TaskContext.get().partitionId(), array("I", [END]).tobytes()
+        enc, packer, part, end = encoder(*spec.value), Packer(), TaskContext.get().partitionId(), array("I", [END]).tobytes()
         for frame in frames:
             for doc, text in zip(frame.column(0).to_pylist(), frame.column(1), strict=True):
                 ids = enc.ids(text.as_py()) + end
@@ -234,7 +276,8 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     with open(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
-        spec = spark.sparkContext.broadcast(file.read())
+        body = file.read()
+    spec = spark.sparkContext.broadcast((body, merge_ranks(json.loads(body))))
     pieces = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pack_partition(spec), _OUT), "pieces")
     done = pieces.where("tier > 0").drop("ids")
     left = pieces.where("tier = 0").groupBy(F.floor(F.col("part") / LEFT_TOGETHER).alias("together")).applyInArrow(_pack_left, _OUT).drop("ids")

@@ -1,5 +1,6 @@
 """Packing: every id once, windows full, ids those of the tokenizer."""
 
+import json
 import random
 import zlib
 from array import array
@@ -16,6 +17,7 @@ from millrace.llm import packing
 
 SPEC = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
 TOKENIZER = Tokenizer.from_str(SPEC)
+RANKS = packing.merge_ranks(json.loads(SPEC))
 
 
 def ids(text):
@@ -25,12 +27,32 @@ def ids(text):
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=80))
 def test_encoder_agrees_with_tokenizer(text):
-    assert packing.encoder(SPEC).ids(text) == array("I", ids(text)[:-1]).tobytes()
+    assert packing.encoder(SPEC, RANKS).ids(text) == array("I", ids(text)[:-1]).tobytes()
 
 
 @pytest.mark.parametrize("text", ["İstanbul ΣΑΣ don't 'street's", "a\x1cb", "x<|endoftext|>y <|startoftext|>", "漢字 한글", "é é ½ ²", "'re's ''ll", "  x​"])
 def test_encoder_on_odd_texts(text):
-    assert packing.encoder(SPEC).ids(text) == array("I", ids(text)[:-1]).tobytes()
+    assert packing.encoder(SPEC, RANKS).ids(text) == array("I", ids(text)[:-1]).tobytes()
+
+
+def test_words_in_a_small_memory(monkeypatch):
+    """Ids stay right while chunks are forgotten, and with a file whose merges can't be ranked."""
+    monkeypatch.setattr(packing, "CACHE", 40)
+    rng = random.Random(8)
+    for ranks in (RANKS, None):
+        enc = packing.Encoder(SPEC, ranks)
+        for _ in range(60):
+            text = " ".join(rng.choice(["", "(", "It's", "né"]) + "".join(rng.choice("abcehinorstäß'.,-7") for _ in range(rng.randint(1, 14))) for _ in range(40))
+            assert enc.ids(text) == array("I", ids(text)[:-1]).tobytes()
+            assert len(enc) <= 40
+
+
+def test_other_files_have_no_ranks():
+    spec = json.loads(SPEC)
+    assert len(RANKS) == 2 * 256 - 1 + len(spec["model"]["merges"])
+    assert packing.merge_ranks(spec | {"pre_tokenizer": None}) is None
+    shuffled = spec["model"] | {"merges": spec["model"]["merges"][::-1]}
+    assert packing.merge_ranks(spec | {"model": shuffled}) is None
 
 
 def check(rows, got):

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from helpers import documents, words
 
 from millrace.llm import jaccard
@@ -54,11 +55,101 @@ def brute(rows):
     return {rows[i][0]: (rows[root(i)][0], links[i]) for i in range(len(rows))}
 
 
-def test_join_matches_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 40)  # the large group goes through several blocks
+def joined(df):
+    return {r["doc_id"]: (r["class_id"], r["links"]) for r in jaccard.join(df).collect()}
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_join_matches_brute_force(spark, monkeypatch, block):
+    """With small blocks the large groups go down to longer prefixes, to pivots and to blocks of nodes."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     rows = corpus()
-    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in jaccard.join(documents(spark, rows + [rows[0], (None, "x")], extra=True)).collect()}
-    assert got == brute(rows)
+    assert joined(documents(spark, rows + [rows[0], (None, "x")], extra=True)) == brute(rows)
+
+
+def spread_out(n, most):
+    """Copies of one text with up to ``most`` of 150 words changed: some pairs are linked, some not."""
+    rng = random.Random(most)
+    hot, rows = words(rng, 150), []
+    for i in range(n):
+        w = list(hot)
+        for _ in range(rng.randint(0, most)):
+            w[rng.randrange(150)] = "".join(words(rng, 2))
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("most", [3, 14])
+def test_masses_of_near_copies(spark, monkeypatch, most):
+    """Links that pivots decide and those that blocks find make up all of them, each once."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    rows = spread_out(160, most)
+    close_to_all_links(joined(documents(spark, rows)), brute(rows))
+
+
+def close_to_all_links(got, want):
+    """Classes are equal; no link is made up; few are missed, as the target recall allows."""
+    assert {d: c for d, (c, _) in got.items()} == {d: c for d, (c, _) in want.items()}
+    missed = sum(n for _, n in want.values()) - sum(n for _, n in got.values())
+    assert 0 <= missed <= 0.01 * sum(n for _, n in want.values())
+    assert all(got[d][1] <= want[d][1] for d in want)
+
+
+def test_pivots_spare_comparisons(spark, monkeypatch):
+    """A mass of close copies is counted without comparing its pairs."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    compared = spark.sparkContext.accumulator(0)
+    whole = jaccard._verify
+
+    def counting(key, frame):
+        compared.add(len(frame))
+        return whole(key, frame)
+
+    monkeypatch.setattr(jaccard, "_verify", counting)
+    rows = spread_out(200, 1)
+    close_to_all_links(joined(documents(spark, rows)), brute(rows))
+    assert compared.value == 0
+
+
+def test_depth_follows_density(spark, monkeypatch):
+    """Sparse texts are matched by the shortest prefix, texts of a dense region by longer ones."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    rng = random.Random(12)
+    texts = [words(rng, 60) for _ in range(30)]
+    sparse = [(1000 + 2 * i + k, " ".join(t)) for i, w in enumerate(texts) for k, t in enumerate([w, [*w[:59], "x"]])]
+    shared = words(rng, 100)
+    dense = [(i, " ".join(shared + words(rng, 60))) for i in range(150)]
+    dense += [(200 + i, t + " x") for i, t in dense[::5]]
+    _, _, about, by_level = jaccard.matched(documents(spark, dense + sparse))
+    depth = {r["rep"]: r["depth"] for level in by_level for r in level.where("small").collect()}
+    first, *longer = [d for d, _ in jaccard.levels()]
+    assert {d for r, d in depth.items() if r >= 1000} == {first}
+    assert {d for r, d in depth.items() if r < 1000} & set(longer)
+    got = {r["rep"]: (r["class"], r["links"]) for r in about.collect()}
+    want = {i: c for i, c in brute(dense + sparse).items() if c[1]}
+    assert {i: c for i, c in got.items() if c[1]} == want
+
+
+def test_recall_of_each_level():
+    """Of pairs just above the threshold each level's labels meet the target share."""
+    rng = random.Random(3)
+    met, n = {k: 0 for k in jaccard.levels()}, 300
+    for _ in range(n):
+        size = rng.randint(40, 400)
+        both, alone = round(0.8 * size), size - round(0.8 * size)
+        draw = np.random.RandomState(rng.randrange(1 << 30)).randint(0, 1 << 62, size, dtype=np.int64).astype(np.uint64)
+        x, y = np.sort(draw[: both + alone // 2]), np.sort(np.concatenate([draw[:both], draw[both + alone // 2 :]]))
+        for depth, trees in met:
+            s = jaccard.signatures([x, y], depth, trees)
+            met[depth, trees] += bool((s[0] == s[1]).any())
+    assert all(m >= 0.97 * n for m in met.values())
+    for depth, trees in met:
+        assert 1 - (1 - jaccard.THRESHOLD**depth) ** trees >= jaccard.RECALL
+
+
+def test_longer_labels_extend_shorter_ones():
+    times, plus = jaccard._multipliers(3, 6)
+    assert (jaccard._multipliers(3, 10)[0][:6] == times).all() and (jaccard._multipliers(3, 10)[1][:6] == plus).all()
 
 
 def test_one_of_each(spark):
@@ -69,13 +160,17 @@ def test_one_of_each(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([*{c for c, _ in brute(rows).values()}, None], key=str)
 
 
-def test_no_rows(spark):
-    assert jaccard.join(documents(spark, [])).collect() == []
+def test_texts_under_one_id(spark):
+    """Different texts that share an id stay; copies go, whichever id they have."""
+    rng = random.Random(5)
+    a, b, c = (" ".join(words(rng, 40)) for _ in range(3))
+    rows = [(1, a), (1, b), (2, b), (2, b), (3, c), (3, a + " end"), (4, c), (None, a)]
+    kept = jaccard.one_of_each(documents(spark, rows, extra=True))
+    assert sorted(map(tuple, kept.select("doc_id", "text").collect()), key=str) == sorted([(1, a), (1, b), (3, c), (None, a)], key=str)
 
 
-def test_depth_reaches_recall():
-    k = jaccard.matched_depth()
-    assert 1 - (1 - 0.8**k) ** jaccard.TREES >= jaccard.RECALL > 1 - (1 - 0.8 ** (k + 1)) ** jaccard.TREES
+def test_no_rows(spark):
+    assert jaccard.join(documents(spark, [])).collect() == []
 
 
 def test_word_hashes_follow_words():

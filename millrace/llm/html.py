@@ -10,6 +10,10 @@ inside a dropped one, nor dropped inside one that is kept whole.
 
 The trees are trained here, on pages that ``training_pages`` writes with known main text.
 
+Parts of forms that ask (labels, buttons) are left out wherever they stand.  Formulas (MathML) and
+what an ``object`` holds are text of the block around them; an ``annotation`` repeats its formula
+and is left out.
+
 Text: character references are decoded, white space within a block becomes one space, blocks
 are joined by a line feed in page order.  A block is an uninterrupted run of text in one
 block-level element.  ``br`` counts as white space.
@@ -41,14 +45,17 @@ from millrace.llm._common import table
 _TAG = re.compile(r"<(?:!--(?:.*?)(?:-->|\Z)|[!?][^>]*(?:>|\Z)|/([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"""(?:class|id|role|itemprop|aria-label|hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _TOKEN = re.compile(r"[a-z]+")
+_OUT_OF_HEAD = re.compile(r"</head[^>]*>|(?=<body\b)", re.I)
 
 # Element names of the HTML standard by how they are treated.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template svg head title iframe object canvas math audio video".split())
+HIDDEN = frozenset("script style noscript template svg head title iframe canvas audio video annotation annotation-xml".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em embed font i img input ins kbd label link map mark meta meter nobr output progress q rp rt ruby s samp small source span strike strong sub sup time track tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em embed font i img input ins kbd link map mark meta meter nobr object output progress q rp rt ruby s samp small source span strike strong sub sup time track tt u var wbr".split())
+FORMULA = frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics".split())
 CONTROLS = frozenset("input button select textarea option fieldset label".split())
-CLOSED_BY_BLOCK = frozenset(["p"])
+PROMPTS = frozenset("button label legend option".split())  # parts of forms wherever they stand: their own text is never main text
+CLOSED_BY_BLOCK = PROMPTS | {"p"}
 CLOSED_BY_SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
 ALSO_CLOSES = {"dt": "dd", "dd": "dt", "td": "th", "th": "td"}
 KINDS = {k: i for i, names in enumerate(["p blockquote pre", "h1 h2 h3 h4 h5 h6", "ul ol dl menu", "li dt dd", "table tbody thead tr td th", "div section", "article main", "nav header footer aside form"], 1) for k in names.split()}
@@ -85,7 +92,14 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     nodes, blocks, open_, run = [root], [], root, []
     hidden: str | None = None
     deep = links = total = 0
-    stack_inline: list[str] = []
+    opened: Counter[str] = Counter()  # open elements by tag, so that an end tag without one costs no search
+
+    def close(node: Node) -> None:
+        """End ``node`` and all that is open in it."""
+        nonlocal open_
+        while open_ is not node.parent:
+            opened[open_.tag] -= 1
+            open_ = open_.parent
 
     def close_run() -> None:
         nonlocal total
@@ -122,13 +136,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                 continue
             if tag == "a":
                 links = max(0, links - 1)
-            elif tag not in INLINE:
-                node = open_
-                while node is not root and node.tag != tag:
-                    node = node.parent
-                if node is not root:
+            elif tag not in INLINE and tag not in FORMULA:
+                if opened[tag]:
+                    node = open_
+                    while node.tag != tag:
+                        node = node.parent
                     close_run()
-                    open_ = node.parent
+                    close(node)
                     links = 0
                 elif tag == "p":
                     close_run()
@@ -144,12 +158,12 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                 if tag in ("textarea", "select"):
                     open_.controls += 1
                 if tag in RAW:
-                    stop = re.compile(f"</{re.escape(tag)}[^>]*(?:>|\\Z)", re.I).search(page, at)
+                    stop = _end_of(tag).search(page, at)
                     at = stop.end() if stop else end
                 else:
                     hidden, deep = tag, 1
                     if tag == "head":  # a head may lack its end: the body ends it
-                        stop = re.compile(r"</head[^>]*>|(?=<body\b)", re.I).search(page, at)
+                        stop = _OUT_OF_HEAD.search(page, at)
                         hidden, deep = None, 0
                         at = stop.end() if stop else _end_of_head(page, at)
                 continue
@@ -157,20 +171,21 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                 open_.controls += 1
             if tag == "br":
                 run.append(" ")
-            if tag in INLINE:
+            if tag in INLINE or tag in FORMULA:
                 if tag == "a":
                     links = 1
                 continue
             close_run()
             links = 0
             if tag in CLOSED_BY_SAME:
-                node, limits = open_, CLOSED_BY_SAME[tag]
-                while node is not root and node.tag != tag and node.tag != ALSO_CLOSES.get(tag) and node.tag not in limits:
-                    node = node.parent
-                if node.tag == tag or node.tag == ALSO_CLOSES.get(tag):
-                    open_ = node.parent
+                node, limits, also = open_, CLOSED_BY_SAME[tag], ALSO_CLOSES.get(tag, tag)
+                if opened[tag] or opened[also]:
+                    while node is not root and node.tag not in (tag, also) and node.tag not in limits:
+                        node = node.parent
+                    if node.tag in (tag, also):
+                        close(node)
             elif open_.tag in CLOSED_BY_BLOCK:
-                open_ = open_.parent
+                close(open_)
             if tag in VOID:
                 continue
             if tag in ("html", "body"):
@@ -181,6 +196,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             nodes.append(node)
             if not m[3].endswith("/"):
                 open_ = node
+                opened[tag] += 1
     close_run()
     for i, node in enumerate(nodes):
         node.index = i
@@ -199,19 +215,27 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     return nodes, blocks
 
 
+@lru_cache(maxsize=64)
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(f"</{re.escape(tag)}[^>]*(?:>|\\Z)", re.I)
+
+
 def _end_of_head(page: str, at: int) -> int:
     """Where a head without end tag and body ends: before the first element that can't be in it."""
-    for m in _TAG.finditer(page, at):
-        if m[2] and m[2].lower() not in ("meta", "link", "base", "title", "script", "style", "noscript", "template"):
+    while m := _TAG.search(page, at):
+        at = m.end()
+        tag = (m[2] or "").lower()
+        if tag and tag not in ("meta", "link", "base", "title", "script", "style", "noscript", "template"):
             return m.start()
-        if m[2] and m[2].lower() in RAW:
-            stop = page.lower().find("</" + m[2].lower(), m.end())
-            if stop > at:
-                return _end_of_head(page, stop + 3 + len(m[2]))
+        if tag in RAW:
+            stop = _end_of(tag).search(page, at)
+            if not stop:
+                break
+            at = stop.end()
     return len(page)
 
 
-N_FEATURES = 20
+N_FEATURES = 22
 
 
 def features(nodes: list[Node], odds: dict[str, float]) -> list[tuple[float, ...]]:
@@ -241,7 +265,7 @@ def features(nodes: list[Node], odds: dict[str, float]) -> list[tuple[float, ...
         out.append(
             (
                 node.depth, log(node.chars), node.links / chars, node.chars / total, log(node.inner), node.chars / (1 + node.inner), log(node.own), worst, best, sum(scores),
-                above_low, above_high, place, log(n), same, share, log(around), node.points / chars, node.paragraph / chars, node.before / total + 10 * KINDS.get(node.tag, 0) + 100 * min(3, node.controls),
+                above_low, above_high, place, log(n), same, share, log(around), node.points / chars, node.paragraph / chars, node.before / total, KINDS.get(node.tag, 0), min(3, node.controls),
             )
         )
     return out
@@ -500,7 +524,7 @@ def decoded(nodes: list[Node], margin: np.ndarray) -> list[bool]:
                 whole_in[i] += whole_in[c.index]
                 whole_out[i] += whole_out[c.index]
                 mixed[i] += best[c.index]
-            mixed[i] += LEFT_TO_CHILDREN
+            mixed[i] += LEFT_TO_CHILDREN + max(yes[i], no[i])
             best[i] = max(whole_in[i], whole_out[i], mixed[i])
         else:
             best[i] = max(yes[i], no[i])
@@ -515,7 +539,7 @@ def decoded(nodes: list[Node], margin: np.ndarray) -> list[bool]:
             elif mixed[i] < max(whole_in[i], whole_out[i]):
                 decided = whole_in[i] > whole_out[i]
         state[i] = decided
-        keep[i] = yes[i] > no[i] if decided is None else decided
+        keep[i] = node.tag not in PROMPTS and (yes[i] > no[i] if decided is None else decided)
     return keep
 
 

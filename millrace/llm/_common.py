@@ -86,6 +86,20 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+class Shared:
+    """A broadcast with a name of its own, by which workers know what they hold of it."""
+
+    def __init__(self, spark: SparkSession, value) -> None:
+        self.token, self.broadcast = uuid.uuid4().hex, spark.sparkContext.broadcast(value)
+
+    @property
+    def value(self):
+        return self.broadcast.value
+
+    def destroy(self) -> None:
+        self.broadcast.destroy()
+
+
 _held: dict = {}
 
 

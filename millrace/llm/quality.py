@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._common import batches, free, small_batches, table
+from millrace.llm._common import batches, free, small_batches, table, written
 
 CHUNK, APART, WIDTH, STEP = 256, 192, 8, 2
 BLOCK = 64  # chunk and distance are multiples of it
@@ -103,6 +103,16 @@ def _responses(net: Network, a: np.ndarray) -> np.ndarray:
     return out
 
 
+def _last_responses(net: Network, tails: np.ndarray) -> np.ndarray:
+    """Pooled responses of blocks (rows) after which nothing comes."""
+    out = np.empty((len(tails), FILTERS), np.float32)
+    for at in range(0, len(tails), 256):
+        own = np.concatenate([tails[at : at + 256], np.zeros((len(tails[at : at + 256]), WIDTH - STEP), np.uint8)], axis=1)
+        x = np.lib.stride_tricks.sliding_window_view(CODES[own].reshape(len(own), -1), WIDTH * DIMS, axis=1)[:, :: STEP * DIMS]
+        out[at : at + 256] = (np.ascontiguousarray(x).reshape(-1, WIDTH * DIMS) @ net.filters).reshape(len(own), BLOCK // STEP, FILTERS).max(axis=1)
+    return out
+
+
 def chunk_logits(net: Network, texts: list) -> tuple[np.ndarray, np.ndarray]:
     """Logits of all chunks of all texts, and where each text's chunks begin."""
     parts, counts = [], []
@@ -111,10 +121,13 @@ def chunk_logits(net: Network, texts: list) -> tuple[np.ndarray, np.ndarray]:
         b, n = _filled(b)
         counts.append(n)
         parts.append(b)
-    blocks = _responses(net, np.frombuffer(b"".join(parts), np.uint8))
+    a = np.frombuffer(b"".join(parts), np.uint8)
+    blocks = _responses(net, a)
     counts = np.array(counts)
     per, step = CHUNK // BLOCK, APART // BLOCK
     sizes = (counts - 1) * step + per  # blocks of each text
+    ends = np.cumsum(sizes) - 1
+    blocks[ends] = _last_responses(net, a.reshape(-1, BLOCK)[ends])  # no filter reads on into the next text
     first = np.repeat(np.cumsum(sizes) - sizes - step * (np.cumsum(counts) - counts), counts) + step * np.arange(counts.sum())
     pooled = blocks[first]
     for k in range(1, per):
@@ -207,10 +220,8 @@ def _whole(shared, frame: pa.RecordBatch, column: int) -> tuple[Network, np.ndar
     return net, np.concatenate(parts) if parts else np.zeros((0, COMBINED))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_on: Column) -> Network:
-    """A network from a sample of the rows for which ``train_on``, a condition on ``label_of``, holds."""
-    spark = docs.sparkSession
-    small_batches(spark)
+def sampled(docs: DataFrame, labels: DataFrame, train_on: Column) -> tuple[DataFrame, dict[int, int]]:
+    """(text, label) of a bounded sample, of each id one row however many there are, and how many ids each label has."""
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
         .groupBy(F.col("doc_id").cast("long").alias("label_of"))
@@ -222,7 +233,16 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Column) -> Network:
     picked = known.withColumn("order", order)
     one = lambda c: picked.where(F.col("label") == c).orderBy("order", "label_of").limit(SAMPLE_ROWS).select("label_of", "label")
     sample = F.broadcast(one(0).unionByName(one(1)))  # 2 * SAMPLE_ROWS pairs of numbers at most
-    rows = docs.select(F.col("doc_id").cast("long").alias("label_of"), F.col("text").cast("string").alias("text")).join(sample, "label_of").select("text", "label")
+    rows = docs.select(F.col("doc_id").cast("long").alias("label_of"), F.col("text").cast("string").alias("text")).join(sample, "label_of")
+    one_each = rows.groupBy("label_of").agg(F.min_by(F.struct("text", "label"), F.xxhash64("text")).alias("row")).select("row.text", "row.label")
+    return written(one_each, "sample"), sizes
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_on: Column) -> Network:
+    """A network from a sample of the rows for which ``train_on``, a condition on ``label_of``, holds."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows, sizes = sampled(docs, labels, train_on)
     some = rows.mapInArrow(_pick_chunks, "chunks binary, label int").toPandas()
     total = sum(sizes.values())
     blank = Network(*[np.zeros(s, np.float32) for s in ((WIDTH * DIMS, FILTERS), FILTERS, (FILTERS, HIDDEN), HIDDEN, HIDDEN)], 0.0, None, (sizes.get(1, 0) + 0.5) / (total + 1.0))

@@ -5,22 +5,26 @@ orders, which are counted over the whole corpus, labelled or not.  For class c,
 and h5, h3, h2 the five, three and two bytes before byte w,
 
     P_c(w | h5) = max(n_c(h5 w) - D, 0) / n_c(h5) + D N_c(h5 .) / n_c(h5) * P_c(w | h3)
-    P_c(w | h3) = max(n_c(h3 w) - D, 0) / n_c(h3) + D N_c(h3 .) / n_c(h3) * P(w | h2)
-    P(w | h2)   = the same with counts of all texts, then continuation counts: how many
-                  different bytes come before a byte pair, and before a byte
+    P_c(w | h3) = max(N_c(. h3 w) - D, 0) / N_c(. h3 .) + D N_c(h3 .) / N_c(. h3 .) * P(w | h2)
+    P(w | h2)   = the same with N(. h2 w), the kinds of bytes that come before h2 w in all texts,
+                  then with N(. h1 w), the bytes before a pair, and N(. w), those before a byte
 
-so an expression that a class has never met is judged by the counts that both share.
+where n counts occurrences, which only the highest order uses, and N different grams: N_c(. h3 w)
+six-grams of the class that end in h3 w, N_c(h5 .) different bytes after h5.  So an expression
+that a class has never met is judged by the counts that both share.
 Bytes rather than words, as offensive stems come with many endings.  A text is read whole,
 in lower case, with digits and punctuation levelled; its score is a logistic function of
 length-normalised log-likelihood ratios, of the whole text and of its most toxic windows,
 fitted on training rows that the models have not seen.  Once it is fitted, those rows' counts
 are added too.
 
-All counts come from all rows.  Trigrams and what lies below are exact; the longer grams are
-counted in tables of fixed size, indexed by hashes.  So the model has the same bounded size
-for any corpus (about 100 MB), while what is gathered for it grows with the rows.  Counts
-are summed inside the scan's partitions and merged 64 at a time, so no task meets more than
-64 partial tables of 2**16 entries.
+All counts come from all rows, and are exact: what the tasks gather are the different six-grams
+of each class with their counts, as many as the texts hold, and they are put together by
+their last four bytes (64 tasks' at a time, in ``BUCKETS`` parts or more) before anything is derived from them.
+Kinds of bytes before a trigram are the 28 levelled ASCII bytes and 36 classes of the others.
+Only then are they laid into tables of fixed size, indexed by hashes, so that the model that
+is broadcast is bounded (about 100 MB); ``load`` tells how full these are, which is how
+often an unseen gram meets another's count.
 
 Edge cases: a null or empty text has all ratios zero, and so gets the score that the
 logistic function has there; repeated rows count again; labels are joined by doc_id, the
@@ -43,24 +47,28 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._common import batches, free, held, likely, mix, small_batches, table, written
+from millrace.llm._common import Shared, batches, free, held, likely, mix, small_batches, table, written
 
 GRAM_BITS = {6: 22, 4: 21}
 CONTEXT_BITS = {6: 21, 4: 19}
+BUCKETS, BUCKET_ROWS = 64, 100_000  # parts of a class's six-grams, by their last four bytes: so many at least, one for so many labelled rows
+SALTS = 16  # of a labelled id, which may be that of a third of all rows
 BLOCK_BITS = 16
 DISCOUNT = 0.75
 TOGETHER = 64
-WAITING = 1 << 23
+WAITING = 1 << 21  # six-grams that a task holds back
 CALIBRATION_ROWS = 20_000  # bound of the sample on which the logistic function is fitted
 PAD = 6
 
-#: name: (entries, how to merge)
 LETTERS = 160  # levelled byte values: 26 letters, digit, space, and what stands above ASCII
-TABLES = {"trigram": (1 << 22, "sum")}
+#: What tasks gather, and the numpy type of its values: masks of kinds by trigram, six-grams of a class (those of rows that join the model later apart).
+GATHERED = {"before": np.uint64, "types0": np.int64, "types1": np.int64, "later0": np.int64, "later1": np.int64}
+#: Tables of the model: entries.  ``first`` ones are without the rows that come later.
+TABLES = {"trigram": LETTERS**3}
 for _n in (6, 4):
     for _c in "01":
-        TABLES |= {f"gram{_n}{_c}": (1 << GRAM_BITS[_n], "sum"), f"context{_n}{_c}": (1 << CONTEXT_BITS[_n], "sum"), f"after{_n}{_c}": (1 << CONTEXT_BITS[_n], "or")}
-_NAMES = list(TABLES)
+        TABLES |= {f"gram{_n}{_c}": 1 << GRAM_BITS[_n], f"context{_n}{_c}": 1 << CONTEXT_BITS[_n], f"after{_n}{_c}": 1 << CONTEXT_BITS[_n]}
+_NAMES = [*GATHERED, *TABLES, *[f"first {t}" for t in TABLES if t != "trigram"]]
 _SCHEMA = "part long, name int, block int, at binary, n binary"
 _ARROW = pa.schema([("part", pa.int64()), ("name", pa.int32()), ("block", pa.int32()), ("at", pa.binary()), ("n", pa.binary())])
 
@@ -72,6 +80,7 @@ _INDEX = np.zeros(256, np.int64)
 _INDEX[97:123] = np.arange(1, 27)
 _INDEX[48] = 27
 _INDEX[128:] = np.arange(32, LETTERS)
+_KIND = np.array([i if i < 28 else 28 + i % 36 for i in range(LETTERS)])  # of a byte before a trigram
 
 
 def _slots(h: np.ndarray, bits: int) -> np.ndarray:
@@ -92,18 +101,21 @@ def _trigrams(a: np.ndarray) -> np.ndarray:
     return (index[PAD - 2 : -2] * LETTERS + index[PAD - 1 : -1]) * LETTERS + index[PAD:]
 
 
-def _grams(a: np.ndarray) -> dict:
-    """Slots of grams and contexts that end, or stand before, each byte from ``PAD`` on; the trigrams."""
+def _six(a: np.ndarray) -> np.ndarray:
+    """Six-grams that end in each byte from ``PAD`` on, as numbers of 48 bits."""
     b = a.astype(np.uint64)
-    at = lambda k: b[PAD - k : len(b) - k]  # noqa: E731  the byte k before
-    h3 = (at(3) << np.uint64(16)) | (at(2) << np.uint64(8)) | at(1)
-    h5 = h3 | (at(4) << np.uint64(24)) | (at(5) << np.uint64(32))
-    w = at(0)
-    out = {"trigram": _trigrams(a)}
-    for n, h in ((4, h3), (6, h5)):
-        out[f"context{n}"] = _slots(mix(h + np.uint64(n << 56)), CONTEXT_BITS[n])
-        out[f"gram{n}"] = _slots(mix((h << np.uint64(8)) + w + np.uint64(n << 56)), GRAM_BITS[n])
-    out["bit"] = np.uint32(1) << (mix(w) >> np.uint64(59)).astype(np.uint32)
+    out = np.zeros(len(b) - PAD, np.uint64)
+    for k in range(5, -1, -1):
+        out = (out << np.uint64(8)) | b[PAD - k : len(b) - k]
+    return out
+
+
+def _places(six: np.ndarray) -> dict[str, np.ndarray]:
+    """Slots of six-grams, of their last four bytes, and of the contexts of both."""
+    out = {}
+    for n, own in ((6, six), (4, six & np.uint64(0xFFFFFFFF))):
+        out[f"context{n}"] = _slots(mix((own >> np.uint64(8)) + np.uint64(n << 56)), CONTEXT_BITS[n])
+        out[f"gram{n}"] = _slots(mix(own + np.uint64(n << 56)), GRAM_BITS[n])
     return out
 
 
@@ -113,110 +125,152 @@ def _positions(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) + np.repeat(starts - PAD - firsts, n)
 
 
-def _add(into: np.ndarray, at: np.ndarray) -> None:
-    np.add.at(into, at, into.dtype.type(1))
-
-
-def _or(into: np.ndarray, at: np.ndarray, bits: np.ndarray) -> None:
-    keys = np.unique((at.astype(np.uint64) << np.uint64(32)) | bits)
-    np.bitwise_or.at(into, (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-
-
-def _count_all(tables: dict[str, np.ndarray], texts: list, _: list) -> None:
-    """What both classes share."""
+def kinds_before(mask: np.ndarray, texts: list) -> None:
+    """Set the bits of the kinds of bytes that come before each trigram of some texts."""
     a, starts, n = _bytes(texts)
     if n.sum():
-        _add(tables["trigram"], _trigrams(a)[_positions(starts, n)])
+        own = _positions(starts, n)
+        np.bitwise_or.at(mask, _trigrams(a)[own], np.uint64(1) << _KIND[_INDEX[a[PAD - 3 : -3]]].astype(np.uint64)[own])
 
 
-def _count_classes(tables: dict[str, np.ndarray], texts: list, label: list) -> None:
+def six_grams(texts: list, label: list) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Different six-grams of the texts of each class, and how often each occurs."""
     a, starts, n = _bytes(texts)
-    if not n.sum():
-        return
-    grams, own = _grams(a), _positions(starts, n)
+    six, own = _six(a), _positions(starts, n)
     kind = np.repeat(np.array(label), n)
-    for c in (0, 1):
-        at = own[kind == c]
-        if len(at):
-            for order in (6, 4):
-                context = grams[f"context{order}"][at]
-                _add(tables[f"gram{order}{c}"], grams[f"gram{order}"][at])
-                _add(tables[f"context{order}{c}"], context)
-                _or(tables[f"after{order}{c}"], context, grams["bit"][at])
+    return [np.unique(six[own[kind == c]], return_counts=True) for c in (0, 1)]
+
 
+def _together(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the same grams added up."""
+    if len(parts) == 1:
+        return parts[0]
+    grams, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+    return grams, np.bincount(at, np.concatenate([n for _, n in parts]), len(grams)).astype(np.int64)
 
-def _sparse(part: int, name: int, values: np.ndarray) -> Iterator[tuple]:
-    for block in range(len(values) >> BLOCK_BITS):
-        own = values[block << BLOCK_BITS : (block + 1) << BLOCK_BITS]
-        at = np.flatnonzero(own)
-        if len(at):
-            n = own[at]
-            n = n.astype(np.uint8) if n.max() < 256 else n.astype(np.uint32) if n.max() < 1 << 32 else n
-            yield part, name, block, at.astype(np.uint16).tobytes(), bytes([n.dtype.itemsize]) + n.tobytes()
+
+def derived(grams: np.ndarray, n: np.ndarray, c: int) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(table, slots, what to add there) of a class's different six-grams; of four last bytes all are among them."""
+    at = _places(grams)
+    one = np.ones(len(grams), np.int64)
+    yield f"gram6{c}", at["gram6"], n
+    yield f"context6{c}", at["context6"], n
+    yield f"after6{c}", at["context6"], one
+    yield f"gram4{c}", at["gram4"], one
+    yield f"context4{c}", at["context4"], one
+    last, first = np.unique(grams & np.uint64(0xFFFFFFFF), return_index=True)
+    yield f"after4{c}", at["context4"][first], np.ones(len(last), np.int64)
+
+
+def _sparse(part: int, name: str, at: np.ndarray, n: np.ndarray) -> Iterator[tuple]:
+    """Rows of a sparse table: sorted places, those of each block apart, and values other than 0."""
+    cuts = np.searchsorted(at, np.arange(0, int(at[-1]) + 1 + (1 << BLOCK_BITS), 1 << BLOCK_BITS)) if len(at) else [0]
+    for block, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if a < b:
+            yield part, _NAMES.index(name), block, (at[a:b] & ((1 << BLOCK_BITS) - 1)).astype(np.uint16).tobytes(), n[a:b].tobytes()
+
+
+def _typed(part: int, name: str, grams: np.ndarray, n: np.ndarray, buckets: int) -> Iterator[tuple]:
+    """Rows of six-grams, by bucket."""
+    bucket = (mix((grams & np.uint64(0xFFFFFFFF)) + np.uint64(1)) >> np.uint64(40)).astype(np.int64) % buckets
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if a < b:
+            yield part, _NAMES.index(name), k, grams[order[a:b]].tobytes(), n[order[a:b]].astype(np.int64).tobytes()
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(_ARROW)], schema=_ARROW)
 
 
-def _counter(count, names: list[str]):
-    """A task's partial tables: ``count`` fills those of ``names`` from texts and their labels.
+def _gather_kinds(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    free()
+    mask = np.zeros(LETTERS**3, np.uint64)
+    for frame in frames:
+        texts = frame.column(0).to_pylist()
+        for a, b in batches(texts, 1 << 20):
+            kinds_before(mask, texts[a:b])
+    at = np.flatnonzero(mask)
+    if rows := list(_sparse(TaskContext.get().partitionId(), "before", at, mask[at])):
+        yield _rows(rows)
+
 
-    Rows that join the model ``later`` have tables by themselves, whose names are ``len(_NAMES)``
-    further on.  They wait until the others are counted, or are more than ``WAITING`` characters,
-    so a task holds the tables once.
-    """
+def _gather_types(buckets: int):
+    """Six-grams of labelled texts (text, label, later); held back until there are ``WAITING`` different ones."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free()
         part = TaskContext.get().partitionId()
-        tables: dict[str, np.ndarray] = {}
-        waiting: list[tuple] = []
-
-        def add(rows: list[tuple]) -> None:
-            if rows and not tables:
-                tables.update({k: np.zeros(TABLES[k][0], np.uint32) for k in names})
-            texts, label = [t for t, _ in rows], [c for _, c in rows]
-            for a, b in batches(texts, 1 << 20):
-                count(tables, texts[a:b], label[a:b])
-
-        def emptied(later: bool) -> Iterator[pa.RecordBatch]:
-            for name in list(tables):
-                if rows := list(_sparse(part, _NAMES.index(name) + later * len(_NAMES), tables.pop(name))):
-                    yield _rows(rows)
+        held_back: dict[str, list] = {}
 
-        def turned() -> Iterator[pa.RecordBatch]:
-            yield from emptied(False)
-            add(waiting)
-            waiting.clear()
-            yield from emptied(True)
+        def emptied() -> Iterator[pa.RecordBatch]:
+            for name in list(held_back):
+                if rows := list(_typed(part, name, *_together(held_back.pop(name)), buckets)):
+                    yield _rows(rows)
 
         for frame in frames:
             rows = list(zip(*(frame.column(i).to_pylist() for i in range(3)), strict=True))
-            add([row[:2] for row in rows if not row[2]])
-            waiting += [row[:2] for row in rows if row[2]]
-            if sum(len(t or "") for t, _ in waiting) > WAITING:
-                yield from turned()
-        yield from turned()
+            for later in (False, True):
+                own = [row for row in rows if row[2] == later]
+                for a, b in batches([t for t, _, _ in own], 1 << 20):
+                    for c, found in enumerate(six_grams([t for t, _, _ in own[a:b]], [k for _, k, _ in own[a:b]])):
+                        held_back.setdefault(("later" if later else "types") + str(c), []).append(found)
+            if sum(len(g) for parts in held_back.values() for g, _ in parts) > WAITING:
+                for name, parts in held_back.items():
+                    held_back[name] = [_together(parts)]
+                if sum(len(g) for parts in held_back.values() for g, _ in parts) > WAITING // 2:
+                    yield from emptied()
+        yield from emptied()
 
     return run
 
 
-def _dense(name: int, at: bytes, n: bytes, into: np.ndarray) -> None:
-    where = np.frombuffer(at, np.uint16)
-    values = np.frombuffer(n, {1: np.uint8, 4: np.uint32, 8: np.int64}[n[0]], offset=1) if n[0] == 1 else np.frombuffer(n[1:], {4: np.uint32, 8: np.int64}[n[0]])
-    if TABLES[_NAMES[name % len(_NAMES)]][1] == "or":
-        into[where] |= values.astype(into.dtype)
-    else:
-        into[where] += values.astype(into.dtype)
+def _grams_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(row["at"], np.uint64), np.frombuffer(row["n"], np.int64)
 
 
 def _merge(key: tuple[pa.Scalar, ...], frame: pa.Table) -> pa.Table:
+    """Partial tables, or parts of them, of the same name and block put together."""
     part, name, block = (k.as_py() for k in key)
-    into = np.zeros(1 << BLOCK_BITS, np.int64)
-    for at, n in zip(frame.column("at").to_pylist(), frame.column("n").to_pylist(), strict=True):
-        _dense(name, at, n, into)
-    return pa.Table.from_batches([_rows([(part, name, block, *row[3:]) for row in _sparse(part, name, into)])], schema=_ARROW)
+    rows = frame.select(["at", "n"]).to_pylist()
+    if _NAMES[name] in ("before", *TABLES) or _NAMES[name].startswith("first "):
+        kind = GATHERED.get(_NAMES[name], np.int64)
+        into = np.zeros(1 << BLOCK_BITS, kind)
+        for row in rows:
+            where, values = np.frombuffer(row["at"], np.uint16), np.frombuffer(row["n"], kind)
+            if kind is np.uint64:
+                into[where] |= values
+            else:
+                into[where] += values
+        at = np.flatnonzero(into)
+        body = at.astype(np.uint16).tobytes(), into[at].tobytes()
+    else:
+        grams, n = _together([_grams_of(r) for r in rows])
+        body = grams.tobytes(), n.astype(np.int64).tobytes()
+    return pa.Table.from_batches([_rows([(part, name, block, *body)])], schema=_ARROW)
+
+
+def _derive(key: tuple[pa.Scalar, ...], frame: pa.Table) -> pa.Table:
+    """Sparse tables from all six-grams of a bucket, with and without those that come later; counts of kinds from masks."""
+    part = key[0].as_py()
+    by: dict[str, list] = {}
+    out = []
+    for row in frame.to_pylist():
+        name = _NAMES[row["name"]]
+        if name == "before":
+            kinds = np.bitwise_count(np.frombuffer(row["n"], np.uint64)).astype(np.int64)
+            out.append((part, _NAMES.index("trigram"), row["block"], row["at"], kinds.tobytes()))
+        else:
+            by.setdefault(name, []).append(_grams_of(row))
+    for c in (0, 1):
+        for prefix, names in (("first ", [f"types{c}"]), ("", [f"types{c}", f"later{c}"])):
+            parts = [x for name in names for x in by.get(name, [])]
+            if parts:
+                for table, at, n in derived(*_together(parts), c):
+                    places, where = np.unique(at, return_inverse=True)
+                    out += _sparse(part, prefix + table, places, np.bincount(where, n, len(places)).astype(np.int64))
+    return pa.Table.from_batches([_rows(out)], schema=_ARROW)
 
 
 @dataclass
@@ -239,8 +293,8 @@ def _interpolated(n: np.ndarray, lower: np.ndarray) -> np.ndarray:
 
 
 def _finished(tables: dict[str, np.ndarray]) -> Model:
-    """Probabilities from counts; those of trigrams rest on continuation counts."""
-    tri = tables["trigram"][: LETTERS**3].reshape(LETTERS, LETTERS, LETTERS)
+    """Probabilities from counts."""
+    tri = tables["trigram"].reshape(LETTERS, LETTERS, LETTERS)
     before = (tri > 0).sum(axis=0).astype(np.float64)  # [v, w]: different bytes before the pair v w
     single = (before > 0).sum(axis=0).astype(np.float64)
     single = (single + 0.01) / (single + 0.01).sum()
@@ -250,9 +304,7 @@ def _finished(tables: dict[str, np.ndarray]) -> Model:
         shared[first] = _interpolated(tri[first].astype(np.float64), pair)
     model = Model(shared.reshape(-1), {}, {}, {})
     for key in ("60", "61", "40", "41"):
-        n = tables[f"context{key}"]
-        empty = 32 - np.bitwise_count(tables[f"after{key}"].astype(np.uint32)).astype(np.float64)
-        kinds = 32 * np.log(32 / np.maximum(empty, 0.5))  # linear counting in 32 bits
+        n, kinds = tables[f"context{key}"], tables[f"after{key}"].astype(np.float64)
         model.gram[key] = tables[f"gram{key}"].astype(np.float32)
         model.context[key] = np.maximum(n, 1).astype(np.float32)
         model.backoff[key] = np.where(n > 0, np.clip(DISCOUNT * kinds / np.maximum(n, 1), 1e-5, 1.0), 1.0).astype(np.float32)
@@ -261,8 +313,8 @@ def _finished(tables: dict[str, np.ndarray]) -> Model:
 
 def ratios(model: Model, a: np.ndarray) -> np.ndarray:
     """log P_1 - log P_0 of each byte from ``PAD`` on."""
-    grams = _grams(a)
-    shared = model.shared[grams["trigram"]]
+    grams = _places(_six(a))
+    shared = model.shared[_trigrams(a)]
     out = []
     for c in "01":
         p = shared
@@ -319,18 +371,18 @@ def _ship(spark: SparkSession, tables: dict[str, np.ndarray], weights: np.ndarra
     """A broadcast of the counts, which are mostly zeros and so go compressed; workers make the model from them."""
     small = {k: zlib.compress(v.astype(np.uint8) if v.max() < 256 else v, 1) for k, v in tables.items()}
     body = pickle.dumps((small, {k: v.max() < 256 for k, v in tables.items()}, weights, prior), protocol=5)
-    return spark.sparkContext.broadcast(body)
+    return Shared(spark, body)
 
 
 def _model(broadcast) -> Model:
-    def make() -> Model:
+    def make() -> Model:  # counts beyond 2**24 are rounded
         small, bytewise, weights, prior = pickle.loads(broadcast.value)
-        kinds = {k: np.uint8 if bytewise[k] else np.uint32 if TABLES[k][1] == "or" else np.float32 for k in small}
+        kinds = {k: np.uint8 if bytewise[k] else np.float32 for k in small}
         model = _finished({k: np.frombuffer(zlib.decompress(v), kinds[k]) for k, v in small.items()})
         model.weights, model.prior = weights, prior
         return model
 
-    return held("toxicity", zlib.crc32(broadcast.value), make)
+    return held("toxicity", broadcast.token, make)
 
 
 def _features(frame: pa.RecordBatch, column: int, model: Model) -> np.ndarray:
@@ -338,6 +390,21 @@ def _features(frame: pa.RecordBatch, column: int, model: Model) -> np.ndarray:
     return np.concatenate([features(model, texts[a:b]) for a, b in batches(texts, 1 << 19)]) if texts else np.zeros((0, FEATURES))
 
 
+def _merged(partial: DataFrame) -> DataFrame:
+    """Partial tables put together, ``TOGETHER`` parts at a time, so that no task meets more."""
+    n = (partial.agg(F.max("part")).first()[0] or 0) + 1
+    while True:
+        partial = written(partial.withColumn("part", F.floor(F.col("part") / TOGETHER)).groupBy("part", "name", "block").applyInArrow(_merge, _SCHEMA), "counts")
+        n = -(-n // TOGETHER)
+        if n <= 1:
+            return partial
+
+
+def load(tables: dict[str, np.ndarray]) -> dict[str, float]:
+    """Share of the slots that are taken, by table: how often an unseen gram meets another's count."""
+    return {k: float(np.count_nonzero(v) / len(v)) for k, v in tables.items()}
+
+
 def fit(docs: DataFrame, labels: DataFrame, train: Column):
     """A broadcast model of both classes from all training rows; ``train`` is a condition on ``label_of``, the document's id."""
     spark = docs.sparkSession
@@ -351,24 +418,25 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column):
         .select(F.col("label_of").alias("doc_id"), "label")
     )
     fold = F.pmod(F.crc32(F.concat(F.lit("fold/"), F.col("doc_id").cast("string")).cast("binary")), F.lit(5))
-    # The same join at every size: label tables grow with the corpus.
-    labelled = likely(texts, "doc_id", known.select("doc_id")).join(known.hint("merge"), "doc_id").select("text", "label", (fold == 0).alias("later"))
-    every = texts.select("text", F.lit(0).alias("label"), F.lit(False).alias("later")).mapInArrow(_counter(_count_all, ["trigram"]), _SCHEMA)
-    partial = written(every, "counts").unionByName(written(labelled.mapInArrow(_counter(_count_classes, [k for k in _NAMES if k != "trigram"]), _SCHEMA), "counts"))
-    parts = (partial.agg(F.max("part")).first()[0] or 0) + 1
-    while True:
-        partial = written(partial.withColumn("part", F.floor(F.col("part") / TOGETHER)).groupBy("part", "name", "block").applyInArrow(_merge, _SCHEMA), "counts")
-        parts = -(-parts // TOGETHER)
-        if parts <= 1:
-            break
-    tables = {k: np.zeros(n, np.uint32 if how == "or" else np.float32) for k, (n, how) in TABLES.items()}  # counts beyond 2**24 are rounded
-
-    def take(those: Column) -> None:
-        for row in partial.where(those).toLocalIterator():  # tables of fixed size, whatever the input's
-            name = _NAMES[row["name"] % len(_NAMES)]
-            _dense(row["name"], bytes(row["at"]), bytes(row["n"]), tables[name][row["block"] << BLOCK_BITS : (row["block"] + 1) << BLOCK_BITS])
-
-    take(F.col("name") < len(_NAMES))
+    buckets = max(BUCKETS, -(-known.count() // BUCKET_ROWS))
+    # The same join at every size: label tables grow with the corpus.  Rows of one id meet its label under a salt.
+    salted = known.select("doc_id", "label", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    spread = likely(texts, "doc_id", known.select("doc_id")).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    labelled = spread.join(salted.hint("merge"), ["doc_id", "salt"]).select("text", "label", (fold == 0).alias("later"))
+    gathered = written(texts.select("text").mapInArrow(_gather_kinds, _SCHEMA), "counts").unionByName(written(labelled.mapInArrow(_gather_types(buckets), _SCHEMA), "counts"))
+    merged = _merged(gathered)
+    bucket = F.pmod(F.col("block"), F.lit(buckets)).cast("long").alias("bucket")
+    partial = _merged(written(merged.groupBy(bucket).applyInArrow(_derive, _SCHEMA), "counts"))
+
+    def take(prefix: str) -> dict[str, np.ndarray]:
+        tables = {k: np.zeros(n, np.float32) for k, n in TABLES.items()}
+        names = {_NAMES.index(k if k == "trigram" else prefix + k): k for k in TABLES}
+        for row in partial.where(F.col("name").isin(list(names))).toLocalIterator():  # tables of fixed size, whatever the input's
+            into = tables[names[row["name"]]][row["block"] << BLOCK_BITS :]
+            into[np.frombuffer(bytes(row["at"]), np.uint16)] = np.frombuffer(bytes(row["n"]), np.int64)
+        return tables
+
+    tables = take("first ")
     shared = _ship(spark, tables)
 
     def look(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,10 +447,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column):
 
     order = F.crc32(F.concat(F.lit("pick/"), F.col("doc_id").cast("string")).cast("binary"))
     chosen = known.where(fold == 0).withColumn("order", order).orderBy("order", "doc_id").limit(CALIBRATION_ROWS).select("doc_id", "label")
-    some = texts.join(F.broadcast(chosen), "doc_id").select("text", "label").mapInArrow(look, "x array<double>, label int").toPandas()
+    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("text", "label"), F.xxhash64("text")).alias("row"))  # of an id one text
+    some = one.select("row.text", "row.label").mapInArrow(look, "x array<double>, label int").toPandas()
     y = some["label"].to_numpy(dtype=float) if len(some) else np.zeros(0)
     shared.destroy()
-    take(F.col("name") >= len(_NAMES))
+    tables = take("")
     prior = float((y.sum() + 0.5) / (len(y) + 1.0))
     return _ship(spark, tables, _logistic(np.stack(some["x"].to_numpy()), y) if 0 < y.sum() < len(y) else None, prior)
 

@@ -13,7 +13,10 @@ q = ``seed_words(n)`` words in common with it, and at least n - q + 1 - q e of t
 of q words (the q-gram lemma), all on diagonals less than 2 e apart.  So windows are laid on
 the diagonals of shared runs, where a place has enough of them.  That loses nothing, and
 lets a text without a benchmark's words cost one pass over its word hashes.  Items are
-broadcast while they are few (``BROADCAST_WORDS``); larger benchmarks go in blocks of that size.
+broadcast in blocks of at most ``BROADCAST_WORDS`` words as they are hashed, and ``BROADCAST_BYTES``;
+each block is a pass over the documents.  Where many items share a run that a text repeats,
+items are taken a few at a time, so that at most about ``HITS`` runs in common (or those of one
+item with one batch of texts) are held at once.
 
 Edge cases: null texts and items without words match nothing; items shorter than
 ``SEED_WORDS`` words are matched by all their words; repeated items are found each;
@@ -25,7 +28,6 @@ from __future__ import annotations
 
 import math
 import pickle
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,13 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._common import batches, held, mix, small_batches, table, windows, word_hashes
+from millrace.llm._common import Shared, batches, held, mix, small_batches, table, windows, word_hashes
 
 MAX_EDITS = 0.2
 SEED_WORDS = 3
 WALKS, RECALL = 8, 0.99
 SAMPLED = 4  # positions of an embedding in one sample
-BROADCAST_WORDS = 200_000
+BROADCAST_WORDS, BROADCAST_BYTES = 1_000_000, 8 << 20  # of the items in a block; a longer item is a block by itself
+HITS = 1 << 20  # runs in common that are held at once
 SEED = 0x1234567F00D
 
 
@@ -119,8 +122,10 @@ class Items:
             hashes = np.concatenate(runs)
             item = np.repeat([k for _, k in group], [len(r) for r in runs])
             place = np.concatenate([np.arange(len(r)) for r in runs])
-            order = np.argsort(hashes, kind="stable")
-            self.seeds[n] = hashes[order], item[order], place[order]
+            order = np.lexsort((item, hashes))
+            values, rank = np.unique(hashes[order], return_inverse=True)
+            # Runs by hash and then item, so that those of a range of items are found by two searches.
+            self.seeds[n] = values, rank * len(self.words) + item[order], item[order], place[order]
         self.filters = {n: _bitmap(s[0]) for n, s in self.seeds.items()}
         self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.edits = np.array([edits_allowed(len(w)) for w in self.words], np.int64)
@@ -149,46 +154,64 @@ def _bitmap(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _last_row(item: np.ndarray, text: np.ndarray, free: bool) -> np.ndarray:
+    """Least edits between the item and stretches of the text that end at each place, and begin at its start or (``free``) anywhere."""
+    places = np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, np.int64) if free else places
+    for i, word in enumerate(item, 1):
+        new = np.empty_like(row)
+        new[0] = i
+        np.minimum(row[:-1] + (text != word), row[1:] + 1, out=new[1:])
+        row = np.minimum.accumulate(new - places) + places  # words of the text that are inserted
+    return row
+
+
 def edit_distance(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int]:
-    """Least edits between ``item`` and any stretch of ``text``, and that stretch's begin and end (free ends in ``text``)."""
-    n, m = len(item), len(text)
-    before = list(range(n + 1))
-    begins = [0] * (n + 1)
-    best = (n, 0, 0)
-    item_list = item.tolist()
-    for j, word in enumerate(text.tolist(), 1):
-        now, origin = [0] * (n + 1), [j] * (n + 1)
-        for i in range(1, n + 1):
-            cost, start = before[i - 1] + (item_list[i - 1] != word), begins[i - 1]
-            if before[i] + 1 < cost:
-                cost, start = before[i] + 1, begins[i]
-            if now[i - 1] + 1 < cost:
-                cost, start = now[i - 1] + 1, origin[i - 1]
-            now[i], origin[i] = cost, start
-        before, begins = now, origin
-        if now[n] < best[0]:
-            best = (now[n], origin[n], j)
-    return best if best[0] <= most else (most + 1, 0, 0)
-
-
-def _hits(items: Items, h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Item, text, first word of the window aligned with the seed, and the seed's place in the item, by seed met."""
-    found: list[list[np.ndarray]] = [[], [], [], []]
-    for n, (hashes, item, place) in items.seeds.items():
+    """Least edits between ``item`` and any stretch of ``text``; the first end of such a stretch, and its last begin."""
+    row = _last_row(item, text, True)
+    end = int(row.argmin())
+    cost = int(row[end])
+    if cost > most:
+        return most + 1, 0, 0
+    back = _last_row(item[::-1], text[:end][::-1], False)
+    return cost, end - int(np.flatnonzero(back == cost)[0]), end
+
+
+def _hits(items: Items, h: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Item, text, first word of the window aligned with the seed, and the seed's place in the item, by seed met.
+
+    They come in slices of about ``HITS``, all those of an item together.
+    """
+    met: list[tuple] = []  # by size of the runs: places in the texts, and ranks of their hashes
+    for n, (values, keys, item, place) in items.seeds.items():
         runs = windows(h, n)
         at = np.flatnonzero(items.filters[n][(runs >> np.uint64(64 - _BITMAP)).astype(np.int64)])
-        first, last = np.searchsorted(hashes, runs[at], "left"), np.searchsorted(hashes, runs[at], "right")
-        some = last > first
-        at, first, last = at[some], first[some], last[some]
+        rank = np.minimum(np.searchsorted(values, runs[at]), len(values) - 1)
+        at, rank = at[values[rank] == runs[at]], rank[values[rank] == runs[at]]
         text = np.searchsorted(offsets, at, "right")
         within = at + n <= offsets[text]  # not across two texts
-        at, first, last = at[within], first[within], last[within]
-        if len(at):
-            count = last - first
-            index = np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-            for own, values in zip(found, (item[index], np.repeat(text[within], count) - 1, np.repeat(at, count) - place[index], place[index]), strict=True):
+        if within.any():
+            met.append((at[within], rank[within], text[within] - 1, keys, item, place))
+    if not met:
+        return
+    # How many hits each item has: each run's items count as often as the texts have the run.
+    each = np.zeros(len(items.words) + 1, np.int64)
+    for _, rank, _, keys, item, _ in met:
+        each[1:] += np.bincount(item, np.bincount(rank, minlength=int(keys[-1] // len(items.words)) + 1)[keys // len(items.words)], len(items.words)).astype(np.int64)
+    upto = np.cumsum(each)
+    low = 0
+    while low < len(items.words):
+        high = max(low + 1, int(np.searchsorted(upto, upto[low] + HITS, "right")) - 1)
+        found: list[list[np.ndarray]] = [[], [], [], []]
+        for at, rank, text, keys, item, place in met:
+            first = np.searchsorted(keys, rank * len(items.words) + low)
+            count = np.searchsorted(keys, rank * len(items.words) + high) - first
+            index = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+            for own, values in zip(found, (item[index], np.repeat(text, count), np.repeat(at, count) - place[index], place[index]), strict=True):
                 own.append(values)
-    return tuple(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in found)
+        low = high
+        if sum(map(len, found[0])):
+            yield tuple(np.concatenate(x).astype(np.int64) for x in found)
 
 
 def _candidates(items: Items, h: np.ndarray, offsets: np.ndarray, item: np.ndarray, text: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -216,9 +239,14 @@ def _candidates(items: Items, h: np.ndarray, offsets: np.ndarray, item: np.ndarr
 def matches(items: Items, texts: list) -> list[tuple[int, int, int, int, int]]:
     """(text, item, first word, words, edits) of the best match of each text and item."""
     h, offsets = word_hashes(texts)
-    item, text, at, place = _hits(items, h, offsets)
-    if not len(item):
-        return []
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for hits in _hits(items, h, offsets):
+        _best_of(items, h, offsets, *hits, best)
+    return sorted((t, items.ids[k], first, count, cost) for (t, k), (cost, first, count) in best.items())
+
+
+def _best_of(items: Items, h: np.ndarray, offsets: np.ndarray, item: np.ndarray, text: np.ndarray, at: np.ndarray, place: np.ndarray, best: dict) -> None:
+    """Put the best match of each text and item among some seeds into ``best``."""
     # Seeds of one text and item on neighbouring diagonals belong to one place.
     order = np.lexsort((place, at, text, item))
     item, text, at, place = item[order], text[order], at[order], place[order]
@@ -229,9 +257,8 @@ def matches(items: Items, texts: list) -> list[tuple[int, int, int, int, int]]:
     keep = enough[group] & np.concatenate(([True], (at[1:] != at[:-1]) | (group[1:] != group[:-1])))
     item, text, at, group = item[keep], text[keep], at[keep], group[keep]
     if not len(item):
-        return []
+        return
     hit = group[_candidates(items, h, offsets, item, text, at)]
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for g in np.unique(hit):
         a, b = np.searchsorted(group, (g, g + 1))
         k, t, e = int(item[a]), int(text[a]), int(items.edits[item[a]])
@@ -239,7 +266,6 @@ def matches(items: Items, texts: list) -> list[tuple[int, int, int, int, int]]:
         cost, first, last = _exact(items.words[k], h[begin:end], e)
         if cost <= e and ((t, k) not in best or cost < best[t, k][0]):
             best[t, k] = (cost, begin - int(offsets[t]) + first, last - first)
-    return sorted((t, items.ids[k], first, count, cost) for (t, k), (cost, first, count) in best.items())
 
 
 def _exact(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int]:
@@ -256,7 +282,7 @@ _FOUND_ARROW = pa.schema([(x.split()[0], pa.int64()) for x in _FOUND.split(", ")
 
 
 def _loaded(shared) -> Items:
-    return held("items", zlib.crc32(shared.value), lambda: Items(*pickle.loads(shared.value)))
+    return held("items", shared.token, lambda: Items(*pickle.loads(shared.value)))
 
 
 def _seek(shared):
@@ -274,16 +300,19 @@ def _seek(shared):
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[tuple[list, list]]:
-    """Items in blocks of at most ``BROADCAST_WORDS`` words (a longer item is alone)."""
-    ids, texts, size = [], [], 0
+    """Items that have words, in blocks of at most ``BROADCAST_WORDS`` and ``BROADCAST_BYTES`` (a longer item is alone)."""
+    ids, texts, words, size = [], [], 0, 0
     for row in benchmark.toLocalIterator():
-        words = len((row["text"] or "").split())
-        if ids and size + words > BROADCAST_WORDS:
+        n, m = len(word_hashes([row["text"]])[0]), len((row["text"] or "").encode())
+        if not n:
+            continue
+        if ids and (words + n > BROADCAST_WORDS or size + m > BROADCAST_BYTES):
             yield ids, texts
-            ids, texts, size = [], [], 0
+            ids, texts, words, size = [], [], 0, 0
         ids.append(row["item_id"])
         texts.append(row["text"])
-        size += words
+        words += n
+        size += m
     if ids:
         yield ids, texts
 
@@ -295,7 +324,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out: DataFrame | None = None
     for ids, bodies in _blocks(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))):
-        part = texts.mapInArrow(_seek(spark.sparkContext.broadcast(pickle.dumps((ids, bodies)))), _FOUND)
+        part = texts.mapInArrow(_seek(Shared(spark, pickle.dumps((ids, bodies)))), _FOUND)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], _FOUND) if out is None else out
 
@@ -305,7 +334,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     for ids, bodies in _blocks(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))):
-        docs = docs.where(~_leaky(spark.sparkContext.broadcast(pickle.dumps((ids, bodies))))(F.col("text").cast("string")))
+        docs = docs.where(~_leaky(Shared(spark, pickle.dumps((ids, bodies))))(F.col("text").cast("string")))
     return docs
 
 

@@ -1,7 +1,10 @@
 """Benchmark passages: planted with edits, against exact edit distances."""
 
 import random
+import time
+import tracemalloc
 
+import numpy as np
 import pytest
 from helpers import documents, words
 
@@ -106,6 +109,49 @@ def test_no_rows(spark):
     assert decontaminate.find(documents(spark, rows[:3]), benchmark(spark, [])).collect() == []
 
 
+def test_hot_runs_are_held_in_slices(monkeypatch):
+    """Many items that begin alike against a text that repeats the beginning: the same matches, in bounded memory."""
+    rng = random.Random(9)
+    begin = "which of the following is true about"
+    texts_of = [f"{begin} {' '.join(words(rng, 12))}" for _ in range(1000)]
+    items = decontaminate.Items(list(range(1000)), texts_of)
+    text = " ".join([begin] * 3000 + [texts_of[17], begin, texts_of[400]] + [begin] * 500)
+    tracemalloc.start()
+    found = decontaminate.matches(items, [text, "nothing here", texts_of[3]])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(t, k) for t, k, *_ in found} == {(0, 17), (0, 400), (2, 3)} and all(e == 0 for *_, e in found)
+    assert peak < 400 << 20
+    monkeypatch.setattr(decontaminate, "HITS", 50)
+    few = decontaminate.Items(list(range(30)), texts_of[:30])
+    small = decontaminate.matches(few, [" ".join([begin] * 20 + [texts_of[17]])])
+    monkeypatch.setattr(decontaminate, "HITS", 1 << 30)
+    assert small == decontaminate.matches(few, [" ".join([begin] * 20 + [texts_of[17]])]) != []
+
+
+def test_edit_distance_is_exact_and_fast():
+    rng = random.Random(2)
+    for _ in range(80):
+        item = [rng.randrange(6) for _ in range(rng.randint(1, 12))]
+        text = [rng.randrange(6) for _ in range(rng.randint(0, 25))]
+        cost, begin, end = decontaminate.edit_distance(*(np.array(x, np.uint64) for x in (item, text)), 99)
+        assert cost == plain_distance(item, text)
+        assert plain_distance(item, text[begin:end]) == cost
+    long = np.arange(4000, dtype=np.uint64)
+    begun = time.process_time()
+    assert decontaminate.edit_distance(long, np.delete(np.concatenate([long[:9] + np.uint64(9000), long]), [100, 900]), 800) == (2, 9, 4007)
+    assert time.process_time() - begun < 10
+
+
+def test_blocks_count_words_and_bytes(spark, monkeypatch):
+    """Items without white space count by their hashed words, and by their bytes; those without words aren't sent."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", 500)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 4000)
+    rows = [(i, "-".join(["ab"] * 100)) for i in range(12)] + [(50, None), (51, "..."), (60, "x" * 3000), (61, "y" * 3000)]
+    blocks = [ids for ids, _ in decontaminate._blocks(benchmark(spark, rows).select("item_id", "text").coalesce(1))]
+    assert blocks == [[0, 1, 2, 3, 4], [5, 6, 7, 8, 9], [10, 11, 60], [61]]
+
+
 def test_blocks_of_items(spark, monkeypatch):
     items, rows = planted()
     one = {tuple(r) for r in decontaminate.find(documents(spark, rows[:60]), benchmark(spark, items)).collect()}

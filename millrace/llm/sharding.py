@@ -6,7 +6,8 @@ hash of the key and the child's name, and the smallest draw wins.  A child there
 keys in proportion to the weight below it, and a change of weight moves keys only between
 the subtree whose weight changed and its siblings, level by level.  ``grown`` adds a shard
 as a region of its own, so that the rows it wins at the top level go to it alone and no
-other row moves (law ``key``).
+other row moves (law ``key``).  The law looks at the key alone, so rows with equal texts under
+different keys may lie in different shards.
 
 Edge cases: a null key hashes as the word ``null``; a null text has no bytes (size 1, CRC 0);
 repeated rows are rows like any other and get slots of their own; an empty table gives no
@@ -21,9 +22,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._common import table
+from millrace.llm._common import table, written
 
-BUCKET_KEYS = 1 << 16  # consecutive keys that are numbered together
+BUCKET_DIGITS = 3  # hexadecimal digits of a row's bucket: 4096 buckets a shard, whatever the keys are
 
 
 @dataclass(frozen=True)
@@ -82,10 +83,11 @@ def placed(key: Column, node: Node) -> Column:
 def assign(df: DataFrame, topology: Node, key: str = "doc_id", text: str = "text", larger: Node | None = None) -> DataFrame:
     """One row per input row: key, size, text_crc32, shard, slot, grown_shard.
 
-    Slots number a shard's rows from 0 without gaps, in order of the key.  Keys are numbered
-    in buckets of ``BUCKET_KEYS`` consecutive values, so no task holds a whole shard; equal
-    rows are counted before the shuffle and spread out again afterwards, so a key that holds
-    a third of all rows is one row while it is numbered.
+    Slots number a shard's rows from 0 without gaps, bucket by bucket.  A row's bucket is a
+    hash of its key and its text's CRC, so no task holds a whole shard, nor all rows of a key
+    with many texts; equal rows are counted before the shuffle and spread out again
+    afterwards.  What is broadcast is one offset a bucket, at most 4096 a shard.  Texts are read
+    once: what is numbered is a table of keys, sizes and CRCs in the shared folder.
     """
     as_text = F.coalesce(F.col(key).cast("string"), F.lit("null"))
     body = F.coalesce(F.col(text), F.lit(""))
@@ -96,14 +98,15 @@ def assign(df: DataFrame, topology: Node, key: str = "doc_id", text: str = "text
         placed(as_text, topology).alias("shard"),
         (placed(as_text, larger) if larger else F.lit(None).cast("int")).alias("grown"),
     )
-    same = rows.groupBy("shard", F.floor(F.coalesce(F.col("k"), F.lit(-1)) / BUCKET_KEYS).alias("bucket"), "k", "size", "crc", "grown").agg(F.count(F.lit(1)).alias("n"))
+    bucket = F.conv(F.substring(F.md5(F.concat_ws("/", F.coalesce(F.col("k").cast("string"), F.lit("null")), F.col("crc")).cast("binary")), 1, BUCKET_DIGITS), 16, 10).cast("int")
+    same = written(rows.groupBy("shard", bucket.alias("bucket"), "k", "size", "crc", "grown").agg(F.count(F.lit(1)).alias("n")), "same")
     within = Window.partitionBy("shard", "bucket")
     ahead = within.orderBy(F.col("k").asc_nulls_first(), "size", "crc").rowsBetween(Window.unboundedPreceding, -1)
     numbered = same.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
     totals = same.groupBy("shard", "bucket").agg(F.sum("n").alias("total"))
     earlier = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("shard", "bucket", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("first"))
-    out = numbered.join(offsets, ["shard", "bucket"])
+    out = numbered.join(F.broadcast(offsets), ["shard", "bucket"])
     copy = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1))
     return out.select("k", "size", "crc", "shard", "grown", (F.col("first") + F.col("before")).alias("at"), copy.alias("copy")).select(
         F.col("k").alias(key),
@@ -149,13 +152,13 @@ WITH crc AS (
 ), d AS (
   SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k, encode(coalesce(text, '')) AS b, hex(encode(coalesce(text, ''))) AS h FROM documents
 ), s AS (
-  SELECT doc_id, CAST(octet_length(b) + 1 AS BIGINT) AS size,
+  SELECT doc_id, k, CAST(octet_length(b) + 1 AS BIGINT) AS size,
     xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(octet_length(b)), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
-      lambda c, x: xor(crc.steps[xor(c & 255, x) + 1], c >> 8)), 4294967295) AS text_crc32,
+      lambda c, x: xor(crc.steps[xor(c & 255, x) + 1], c >> 8)), 4294967295)::BIGINT AS text_crc32,
     {_sql_placed(BASE)} AS shard, {_sql_placed(LARGER)} AS grown_shard
   FROM d, crc
 )
 SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
-  row_number() OVER (PARTITION BY shard ORDER BY floor(coalesce(doc_id, -1) / {BUCKET_KEYS}), doc_id NULLS FIRST, size, text_crc32) - 1 AS slot,
+  row_number() OVER (PARTITION BY shard ORDER BY substr(md5(k || '/' || text_crc32), 1, {BUCKET_DIGITS}), doc_id NULLS FIRST, size, text_crc32) - 1 AS slot,
   CAST(grown_shard AS INTEGER) AS grown_shard
 FROM s"""

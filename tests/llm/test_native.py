@@ -1,5 +1,6 @@
 """Chat formatting and sharding."""
 
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -84,6 +85,20 @@ def test_sharding(spark):
     assert 0.6 < moved / (len(rows) / 17) < 1.4
 
 
+def test_sharding_of_sparse_ids(spark):
+    """Random 64-bit ids, and one id on a third of all rows with texts of its own, are numbered in small buckets."""
+    rng = random.Random(6)
+    rows = [(rng.randrange(-(1 << 63), 1 << 63), "t") for _ in range(4000)] + [(5, f"text {i}") for i in range(2000)]
+    got = shards(documents(spark, rows))
+    slots, shard = defaultdict(list), sharding.assign(documents(spark, rows), sharding.BASE, larger=sharding.LARGER)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(own) == list(range(len(own))) for own in slots.values())
+    assert len({r["shard"] for r in got if r["doc_id"] == 5}) == 1
+    plan = shard._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan and plan.count("BroadcastHashJoin") >= 1
+
+
 def test_sharding_confines_movement(spark):
     """More weight on one shard moves rows only into subtrees that hold it."""
     df = documents(spark, [(i, "") for i in range(4000)])

@@ -53,17 +53,23 @@ def dropped(spark: SparkSession, path: str) -> None:
 ID_BITS = 23
 
 
-def likely(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose ``column`` is in ``ids`` (one column), and few others while these are few.
+def flagged(df: DataFrame, column: str, ids: DataFrame, flag: str) -> DataFrame:
+    """``df`` with a column ``flag``: false only where ``column`` is not in ``ids`` (one column).
 
     A bitmap of 2**23 hashes, 257 rows of 4 KB at most, is broadcast and tested by built-in
-    functions: it spares other rows the way through a shuffle and decides nothing.
+    functions: it spares rows the way through a shuffle and decides nothing.
     """
     place = lambda name: F.pmod(F.xxhash64(name), F.lit(1 << ID_BITS))
     bits = ids.select(place(ids.columns[0]).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("__bits"))
     marked = df.withColumn("__at", F.bitmap_bit_position(place(column))).withColumn("__bucket", F.bitmap_bucket_number(place(column)))
     byte = F.conv(F.hex(F.substring("__bits", F.floor(F.col("__at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return marked.join(F.broadcast(bits), "__bucket").where(F.getbit(byte, F.pmod(F.col("__at"), F.lit(8)).cast("int")) == 1).select(*df.columns)
+    met = F.coalesce(F.getbit(byte, F.pmod(F.col("__at"), F.lit(8)).cast("int")) == 1, F.lit(False))
+    return marked.join(F.broadcast(bits), "__bucket", "left").select(*df.columns, met.alias(flag))
+
+
+def likely(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``column`` is in ``ids`` (one column), and few others while these are few."""
+    return flagged(df, column, ids, "__met").where("__met").drop("__met")
 
 
 def ship(spark: SparkSession) -> None:

@@ -16,13 +16,15 @@ with the smallest id of those with the same payload.
 Edge cases: a null html is an empty payload; a null url leaves out the target header; line
 breaks and percent signs in it are percent-encoded; a null page_id comes after all others
 among records with the same payload, so it is a revisit unless every id is null; rows that
-repeat the smallest page_id of a payload are all responses; an empty table makes an archive
+repeat the smallest page_id of a payload are all responses; record ids are made of page_ids, so
+null or repeated page_ids give records with one id; an empty table makes an archive
 without records, which reads as an empty table; further columns are not read.
 """
 
 from __future__ import annotations
 
 import gzip
+import importlib
 import io
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -33,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
 
-from millrace.llm._common import scratch, table
+from millrace.llm._common import flagged, scratch, table, written
 
 NAME = "millrace_warc"
 END = "\r\n\r\n"
@@ -65,20 +67,21 @@ def _id(page: Column) -> Column:
 def with_first(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """``pages`` (page_id, url, payload) with digest, and ``first``: the id a row revisits, else null.
 
-    Only the digests cross the network to find the groups.  Rows then meet their group's
-    first record under a salt, so a payload that holds a third of all rows is spread out.
+    Only digests and ids cross the network to find payloads that occur again.  Rows whose digest
+    isn't one of these stay where they are; the others meet their first record under a salt that
+    comes from the partition they are read in, so a payload that holds a third of all rows is
+    spread out.
     """
     rows = pages.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("bytes", F.octet_length("payload").cast("long"))
-    groups = (
-        rows.where(F.col("bytes") >= min_bytes)
-        .groupBy("digest", "bytes")
-        .agg(F.min("page_id").alias("smallest"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select("digest", "bytes", "smallest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    )
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    found = rows.where(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.min("page_id").alias("smallest"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = written(found.select("digest", "bytes", "smallest"), "repeated")
+    marked = flagged(rows, "digest", groups.select("digest"), "again")
+    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = marked.where("again").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).join(salted, ["digest", "bytes", "salt"], "left")
     first = F.when(~F.col("page_id").eqNullSafe(F.col("smallest")), F.col("smallest"))
-    return salted.join(groups, ["digest", "bytes", "salt"], "left").select("page_id", "url", "payload", "digest", "bytes", first.alias("first"))
+    own = ["page_id", "url", "payload", "digest", "bytes"]
+    alone = marked.where("NOT again").select(*own, F.lit(None).cast(dict(rows.dtypes)["page_id"]).alias("first"))
+    return alone.unionByName(met.select(*own, first.alias("first")))
 
 
 def records(rows: DataFrame) -> DataFrame:
@@ -113,8 +116,23 @@ class Files(InputPartition):
     paths: tuple[str, ...]
 
 
-def _place(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+#: Schemes that Spark's connectors use, by the name that pyarrow knows the store by.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
+def _place(path: str, resolver: str = "") -> tuple[fs.FileSystem, str]:
+    """The file system of a path, and the path in it.
+
+    ``resolver`` ("module:function") names a function from a path to both, for stores that
+    pyarrow doesn't know by their scheme; it must be importable on the executors.
+    """
+    if resolver:
+        module, _, name = resolver.partition(":")
+        return getattr(importlib.import_module(module), name)(path)
+    scheme, colon, rest = path.partition("://")
+    if colon:
+        return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
+    return fs.FileSystem.from_uri(path) if path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
 class WarcSource(DataSource):
@@ -126,31 +144,19 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> WarcReader:
-        return WarcReader(self.options)
+        return (PushingReader if str(self.options.get("pushdown", "true")).lower() == "true" else WarcReader)(self.options)
 
 
 class WarcReader(DataSourceReader):
     def __init__(self, options) -> None:
         self.path = options["path"]
+        self.resolver = options.get("resolver", "")
         self.group_bytes = int(options.get("groupBytes", 64 << 20))
         self.with_payload = str(options.get("payload", "true")).lower() != "false"
         self.wanted: list[tuple[str, frozenset | None]] = []
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
-        """Keep what headers can decide; hand the rest back."""
-        for f in filters:
-            column = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None
-            if column in PUSHED and isinstance(f, EqualTo) and isinstance(f.value, str):
-                self.wanted.append((PUSHED[column], frozenset([f.value])))
-            elif column in PUSHED and isinstance(f, In) and all(isinstance(v, str) for v in f.value):
-                self.wanted.append((PUSHED[column], frozenset(f.value)))
-            elif column in PUSHED and isinstance(f, IsNotNull):
-                self.wanted.append((PUSHED[column], None))
-            else:
-                yield f
-
     def partitions(self) -> Sequence[Files]:
-        where, path = _place(self.path)
+        where, path = _place(self.path, self.resolver)
         # Schemes survive in the paths that executors open.
         prefix = self.path[: len(self.path) - len(path)] if self.path.endswith(path) else ""
         info = where.get_file_info(path)
@@ -172,7 +178,7 @@ class WarcReader(DataSourceReader):
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for path in partition.paths:
-            where, inner = _place(path)
+            where, inner = _place(path, self.resolver)
             with where.open_input_stream(inner, compression=None) as raw:
                 stream = io.BufferedReader(gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw, 1 << 20)
                 for headers, payload in _records(stream, self._keep, self.with_payload):
@@ -185,6 +191,23 @@ class WarcReader(DataSourceReader):
             yield _batch(rows)
 
 
+class PushingReader(WarcReader):
+    """The reader for sessions that push filters down to Python data sources (Spark refuses it in others)."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        """Keep what headers can decide; hand the rest back."""
+        for f in filters:
+            column = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None
+            if column in PUSHED and isinstance(f, EqualTo) and isinstance(f.value, str):
+                self.wanted.append((PUSHED[column], frozenset([f.value])))
+            elif column in PUSHED and isinstance(f, In) and all(isinstance(v, str) for v in f.value):
+                self.wanted.append((PUSHED[column], frozenset(f.value)))
+            elif column in PUSHED and isinstance(f, IsNotNull):
+                self.wanted.append((PUSHED[column], None))
+            else:
+                yield f
+
+
 def _plain(name: str, headers: dict[str, str]) -> str | None:
     value = headers.get(name)
     if value is not None and name == "warc-payload-digest":
@@ -226,10 +249,12 @@ def _batch(rows: list[tuple[dict[str, str], bytes | None]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, _ARROW, strict=True)], schema=_ARROW)
 
 
-def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, payload: bool = True, resolver: str = "") -> DataFrame:
+    """Records of the archives under ``path``; filters are pushed down where the session's
+    ``spark.sql.python.filterPushdown.enabled`` is on, and applied by Spark where it isn't."""
     spark.dataSource.register(WarcSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format(NAME).option("payload", str(payload).lower()).load(path)
+    pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format(NAME).options(payload=str(payload).lower(), resolver=resolver, pushdown=pushdown).load(path)
 
 
 def page_of(record: Column) -> Column:

@@ -10,13 +10,15 @@ the sample: the distance within which ``WITHIN`` of true neighbours lie.  Querie
 find too few neighbours are asked again with twice the radius.
 
 Every row is indexed: about 2**22 components at a time, in the task that reads them.
-Queries go against it in blocks of ``QUERY_BLOCK``, which are what is broadcast; a task returns
-the best few per query and batch, and a window over the query keeps the best of these.
+Queries go against it in blocks of ``QUERY_BYTES``, which are what is broadcast, so vectors are read
+once for each such block (130,000 queries of 32 components), and nothing of them is shuffled.  A task
+keeps the best few per query over all it reads; a window over the query keeps the best of these.
 
 Edge cases: vectors that are null, all zero, of another length than most of the sample's, or
-with a null or non-finite component take no part, neither do rows with a null vec_id; rows
-that share the query's vec_id are its own; ties go to the smaller vec_id; with fewer
-candidates than asked for all are returned; an empty table gives no rows; further columns
+with a null or non-finite component take no part, neither do rows with a null vec_id; a query
+row's own row is no candidate, but others that share its vec_id are, and each row of a shared
+vec_id is a query of its own (equal rows get equal answers); ties go to the smaller vec_id;
+with fewer candidates than asked for all are returned; an empty table gives no rows; further columns
 are not read.
 """
 
@@ -32,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._common import scratch, table
+from millrace.llm._common import dropped, scratch, table, written
 
-BITS, SUB = 128, 16
+BITS, SUB = 256, 16
 FIT_ROWS, FIT_QUERIES, WITHIN = 4096, 256, 0.99
-QUERY_BLOCK = 4096
+QUERY_BYTES = 32 << 20  # of the queries that are broadcast at once
 INDEXED = 1 << 22  # components of the vectors in one index
 _POP16 = np.bitwise_count(np.arange(1 << SUB, dtype=np.uint32)).astype(np.uint8)
 
@@ -83,7 +85,8 @@ def learned(sample: np.ndarray, k: int, seed: int = 3) -> Codes:
 
 
 def hamming(codes: np.ndarray, one: np.ndarray) -> np.ndarray:
-    return _POP16[codes ^ one].sum(axis=1, dtype=np.int64)
+    wide = np.ascontiguousarray(codes).view(np.uint64) ^ np.ascontiguousarray(one).view(np.uint64) if codes.shape[1] % 4 == 0 else codes ^ one
+    return np.bitwise_count(wide).sum(axis=1, dtype=np.int64)
 
 
 class Index:
@@ -113,8 +116,8 @@ class Index:
         return rows[hamming(self.codes[rows], one) <= radius]
 
 
-_FOUND = "query_id long, vec_id long, score double"
-_FOUND_ARROW = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+_FOUND = "query long, query_id long, vec_id long, score double"
+_FOUND_ARROW = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
 def _matrix(column: pa.ChunkedArray, d: int) -> np.ndarray:
@@ -136,26 +139,30 @@ def _gathered(frames: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]
 
 
 def _search(shared, k: int):
+    """The best ``k`` + 1 (a query's own row may be one) of each query over all that a task reads."""
+
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, radius, query_ids, queries = pickle.loads(shared.value)
+        codes, radius, numbers, query_ids, queries = pickle.loads(shared.value)
         asked = codes.of(queries)
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64))] * len(queries)
         for frame in _gathered(frames, max(1000, INDEXED // queries.shape[1])):
             ids = frame.column(0).to_numpy()
             x = _matrix(frame.column(1), queries.shape[1])
             index = Index(codes.of(x))
-            found: list[list] = [[], [], []]
-            for q, one, own in zip(query_ids, asked, queries, strict=True):
+            for q, (one, own) in enumerate(zip(asked, queries, strict=True)):
                 rows = index.within(one, radius)
-                rows = rows[ids[rows] != q]
                 score = np.sqrt(((x[rows] - own) ** 2).sum(axis=1))
-                if len(rows) > k:
-                    some = np.flatnonzero(score <= np.partition(score, k - 1)[k - 1])
+                if len(rows) > k + 1:
+                    some = np.flatnonzero(score <= np.partition(score, k)[k])
                     rows, score = rows[some], score[some]
-                best = np.lexsort((ids[rows], score))[:k]
-                found[0].append(np.full(len(best), q))
-                found[1].append(ids[rows[best]])
-                found[2].append(score[best])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t.type) for c, t in zip(found, _FOUND_ARROW, strict=True)], schema=_FOUND_ARROW)
+                score, near = np.concatenate([best[q][0], score]), np.concatenate([best[q][1], ids[rows]])
+                first = np.lexsort((near, score))[: k + 1]
+                best[q] = score[first], near[first]
+        for a in range(0, len(queries), 10_000):
+            part = best[a : a + 10_000]
+            n = [len(score) for score, _ in part]
+            cols = np.repeat(numbers[a : a + 10_000], n), np.repeat(query_ids[a : a + 10_000], n), np.concatenate([i for _, i in part]), np.concatenate([v for v, _ in part])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, _FOUND_ARROW, strict=True)], schema=_FOUND_ARROW)
 
     return run
 
@@ -165,16 +172,18 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.exists(vector, bad) & F.exists(vector, lambda v: v != 0)
 
 
-def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    ids, rows = [], []
+def _blocks(queries: DataFrame, d: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Numbers, ids and vectors of queries, in blocks of at most ``QUERY_BYTES``."""
+    numbers, ids, rows = [], [], []
     for row in queries.toLocalIterator(prefetchPartitions=True):
-        ids.append(row[0])
-        rows.append(row[1])
-        if len(ids) == QUERY_BLOCK:
-            yield np.array(ids), np.array(rows, np.float64)
-            ids, rows = [], []
+        numbers.append(row["query"])
+        ids.append(row["vec_id"])
+        rows.append(np.array(row["embedding"], np.float64))
+        if len(ids) * d * 8 >= QUERY_BYTES:
+            yield np.array(numbers), np.array(ids), np.stack(rows)
+            numbers, ids, rows = [], [], []
     if ids:
-        yield np.array(ids), np.array(rows, np.float64)
+        yield np.array(numbers), np.array(ids), np.stack(rows)
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
@@ -189,26 +198,36 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     d = Counter(len(r[0]) for r in sample).most_common(1)[0][0]
     rows = rows.where(F.size("embedding") == d)
     codes = learned(np.array([r[0] for r in sample if len(r[0]) == d], np.float64), k)
-    others = rows.count() - 1
-    path, radius, any_block = scratch(spark, "neighbours"), codes.radius, False
-    for ids, queries in _blocks(rows.where(is_query).dropDuplicates(["vec_id"])):
+    every = rows.count()
+    # Equal query rows are asked once.  The numbers are written, so they are the same for all blocks and retries.
+    asked = rows.where(is_query).groupBy("vec_id", "embedding").agg(F.count(F.lit(1)).alias("copies"))
+    asked = written(asked.withColumn("query", F.monotonically_increasing_id()), "queries")
+    path, any_block = scratch(spark, "neighbours"), False
+    for numbers, ids, queries in _blocks(asked, d):
         any_block = True
         radius = codes.radius
         while len(ids):
-            shared = spark.sparkContext.broadcast(pickle.dumps((codes, radius, ids, queries), protocol=5))
+            shared = spark.sparkContext.broadcast(pickle.dumps((codes, radius, numbers, ids, queries), protocol=5))
             part = scratch(spark, "block")
             rows.mapInArrow(_search(shared, k), _FOUND).write.parquet(part)
             found = spark.read.schema(_FOUND).parquet(part)
-            counts = {r[0]: r[1] for r in found.groupBy("query_id").count().collect()}  # a row for each query of the block at most
-            short = np.array([counts.get(int(q), 0) < min(k, others) and radius < BITS for q in ids], bool)
-            done = spark.createDataFrame([(int(q),) for q in ids[~short]], "query_id long")
-            (found.join(F.broadcast(done), "query_id") if short.any() else found).write.mode("append").parquet(path)
-            ids, queries, radius = ids[short], queries[short], min(BITS, 2 * radius + 1)
+            counts = {r[0]: r[1] for r in found.groupBy("query").count().collect()} if radius < BITS else {}  # a row for each query of the block at most
+            short = np.array([radius < BITS and counts.get(int(q), 0) < min(k + 1, every) for q in numbers], bool)
+            done = spark.createDataFrame([(int(q),) for q in numbers[~short]], "query long")
+            (found.join(F.broadcast(done), "query") if short.any() else found).write.mode("append").parquet(path)
+            shared.destroy()
+            dropped(spark, part)
+            numbers, ids, queries, radius = numbers[short], ids[short], queries[short], min(BITS, 2 * radius + 1)
     if not any_block:
         return empty
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    ranked = spark.read.schema(_FOUND).parquet(path).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    # One row at distance 0 with the query's id is its own.
+    best = Window.partitionBy("query").orderBy("score", "vec_id")
+    itself = (F.col("vec_id") == F.col("query_id")) & (F.col("score") == 0)
+    placed = spark.read.schema(_FOUND).parquet(path).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
+    others = placed.withColumn("own", F.sum(itself.cast("int")).over(best.rowsBetween(Window.unboundedPreceding, 0))).where(~(itself & (F.col("own") == 1)))
+    ranked = others.withColumn("rank", (F.col("place") - F.when(F.col("own") > 0, 1).otherwise(0)).cast("int")).where(F.col("rank") <= k)
+    copies = asked.select("query", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy"))
+    return ranked.join(copies, "query").select("query_id", "rank", "vec_id", "score")
 
 
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """HTML extraction, WARC archives and nearest neighbours."""
 
 import base64
+import gzip
 import hashlib
 import math
 import os
@@ -185,12 +186,15 @@ def test_warc_round_trip(spark):
 
 def test_warc_pushdown(spark):
     path = archive(spark, [(i, f"u{i % 3}", b"x" * (i % 5)) for i in range(50)])
+    assert warc.read_warc(spark, path).where("record_type = 'response'").count() == 5  # whatever the session's setting
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     df = warc.read_warc(spark, path, payload=False)
     assert df.where("record_type = 'response'").count() == 5
     assert df.where("payload IS NOT NULL").count() == 0
     only = df.where((F.col("record_type") == "revisit") & F.col("target_uri").isin("u1", "u2"))
     assert {r["target_uri"] for r in only.collect()} == {"u1", "u2"}
-    reader = warc.WarcReader({"path": path})
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    reader = warc.PushingReader({"path": path})
     from pyspark.sql.datasource import EqualTo, GreaterThan
 
     assert list(reader.pushFilters([EqualTo(("record_type",), "revisit"), GreaterThan(("content_length",), 1)])) == [GreaterThan(("content_length",), 1)]
@@ -198,6 +202,25 @@ def test_warc_pushdown(spark):
     assert {t for b in kept for t in b.column(0).to_pylist()} == {"revisit"}
 
 
+def test_warc_stores(monkeypatch, tmp_path):
+    """Paths as Spark's connectors spell them, and stores that only a resolver of one's own can open."""
+    for scheme, known in (("s3a", "s3"), ("abfss", "abfss"), ("hdfs", "hdfs")):
+        seen = []
+
+        class Store:
+            from_uri = staticmethod(lambda uri, seen=seen: seen.append(uri) or (None, "b/x"))
+
+        monkeypatch.setattr(warc.fs, "FileSystem", Store)
+        warc._place(f"{scheme}://b/x")
+        assert seen == [f"{known}://b/x"]
+    module = tmp_path / "own_store.py"
+    module.write_text("from pyarrow import fs\ndef place(path):\n    return fs.LocalFileSystem(), path.replace('odd://', '/')\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    (tmp_path / "two.warc.gz").write_bytes(b"".join(gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 2\r\n\r\n" + body + b"\r\n\r\n") for body in (b"ab", b"cd")))
+    reader = warc.WarcReader({"path": "odd:/" + str(tmp_path / "two.warc.gz"), "resolver": "own_store:place"})
+    assert [bytes(p) for part in reader.partitions() for b in reader.read(part) for p in b.column("payload").to_pylist()] == [b"ab", b"cd"]
+
+
 def test_warc_small_payloads_are_responses(spark):
     path = archive(spark, [(1, "u", b"ab"), (2, "u", b"ab"), (3, "u", b"abcdef"), (4, "u", b"abcdef")], min_bytes=3)
     assert sorted(r["record_type"] for r in warc.read_warc(spark, path).collect()) == ["response", "response", "response", "revisit"]
@@ -256,3 +279,24 @@ def test_few_vectors(spark):
     assert [(r["rank"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 2), (2, 1)]
     assert ann.nearest(vectors(spark, []), F.col("vec_id") == 0).collect() == []
     assert ann.nearest(vectors(spark, [(0, [1.0, 0.0])]), F.col("vec_id") == 0).collect() == []
+
+
+def test_rows_that_share_an_id(spark, monkeypatch):
+    """Every row is a candidate and a query of its own, whatever id it has; blocks of queries of any size agree."""
+    rng = np.random.RandomState(8)
+    x = rng.randn(60, 4).astype(np.float32).astype(np.float64)
+    rows = [(i // 2, x[i].tolist()) for i in range(60)] + [(0, x[0].tolist()), (40, x[0].tolist())]
+    exact = np.array([v for _, v in rows])
+    want = []
+    for q, (i, _) in enumerate(rows):
+        if i % 10 == 0:
+            d = np.sqrt(((exact - exact[q]) ** 2).sum(axis=1))
+            order = sorted((d[j], rows[j][0], j) for j in range(len(rows)) if j != q)[:10]
+            want += [(i, n, v, round(s, 12)) for n, (s, v, _) in enumerate(order, 1)]
+    monkeypatch.setattr(ann, "WITHIN", 1.0)
+    for size in (32 << 20, 100):
+        monkeypatch.setattr(ann, "QUERY_BYTES", size)
+        got = ann.nearest(vectors(spark, rows).repartition(3), F.col("vec_id") % 10 == 0)
+        found = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 12)) for r in got.collect())
+        assert len(found) == len(want)
+        assert len(set(found) & set(want)) >= 0.97 * len(set(want))

@@ -24,7 +24,10 @@ def parsed(value: Arg, strict: bool = True) -> Column:
     if isinstance(value.type, T.DateType | T.TimestampType | T.TimestampNTZType):
         return value.column.cast("timestamp_ntz")
     text = value.text()
-    read = F.coalesce(*[F.try_to_timestamp(text, F.lit(layout)).cast("timestamp_ntz") for layout in LAYOUTS])
+    by = {layout: F.try_to_timestamp(text, F.lit(layout)).cast("timestamp_ntz") for layout in LAYOUTS}
+    # The length tells the layout of almost all texts, so that no other is tried in vain; years of more digits are left to the rest.
+    size, spaced = F.length(text), F.substring(text, 11, 1) == " "
+    read = F.when(size == 10, by[LAYOUTS[1]]).when((size == 19) & spaced, by[LAYOUTS[2]]).when(size == 19, by[LAYOUTS[3]]).otherwise(F.coalesce(*by.values()))
     if not strict:
         return read
     wrong = F.raise_error(F.concat(F.lit("cannot parse date: "), text)).cast("string").cast("timestamp_ntz")

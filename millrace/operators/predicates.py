@@ -43,8 +43,3 @@ def unequal(a: Column, b: Column) -> Column:
 def settled(p: Column) -> Column:
     """A predicate for use under NOT: what is unknown is false."""
     return F.coalesce(p, F.lit(False))
-
-
-def approx_equal(a: Column, b: Column, tolerance: float = 1e-9) -> Column:
-    """Equality of doubles within a relative tolerance; opt-in, for filters only, as it is no equivalence."""
-    return F.abs(a - b) <= F.lit(tolerance) * F.greatest(F.lit(1.0), F.abs(a), F.abs(b))

@@ -14,7 +14,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.dialect import inspect
+from millrace.dialect.grammar import parse
 from millrace.engine import Engine
+from millrace.errors import QueryError
 from millrace.sinks import csvlines, jsonl
 from millrace.sources.schema_info import schema_table
 
@@ -137,10 +140,10 @@ PAIRS: dict[str, tuple[str, str | None]] = {
     "o3_offset": ("SELECT n_name FROM 'nation.parquet' ORDER BY n_name LIMIT 5 OFFSET 10", None),
     "o4_top_k": ("SELECT o_orderkey, o_totalprice FROM 'orders.parquet' ORDER BY o_totalprice DESC, o_orderkey LIMIT 20", None),
     "o1_null_placement": (
-        "SELECT d.doc_id AS id, l.quality AS q FROM 'documents.parquet' d LEFT JOIN 'labels.parquet' l ON d.doc_id = l.doc_id ORDER BY q, id LIMIT 30",
-        "SELECT d.doc_id AS id, l.quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY q NULLS FIRST, id LIMIT 30",
+        "SELECT d.doc_id AS id, l.quality AS q FROM 'documents.parquet' d LEFT JOIN 'labels.parquet' l ON d.doc_id = l.doc_id ORDER BY q, id",
+        "SELECT d.doc_id AS id, l.quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY q NULLS FIRST, id",
     ),
-    "d1_distinct": ("SELECT DISTINCT lang, source FROM 'documents.parquet' ORDER BY lang, source LIMIT 40", None),
+    "d1_distinct": ("SELECT DISTINCT lang, source FROM 'documents.parquet' ORDER BY lang, source", None),
     "q1_cte_chain": (
         "WITH a AS (SELECT o_custkey AS k, o_totalprice AS p FROM 'orders.parquet' WHERE o_orderstatus = 'O'), b AS (SELECT k, MAX(p) AS top FROM a GROUP BY k) SELECT COUNT(*) AS n, ROUND(AVG(top), 3) AS a FROM b",
         "WITH a AS (SELECT o_custkey AS k, o_totalprice AS p FROM orders WHERE o_orderstatus = 'O'), b AS (SELECT k, MAX(p) AS top FROM a GROUP BY k) SELECT COUNT(*) AS n, ROUND(AVG(top), 3) AS a FROM b",
@@ -177,7 +180,7 @@ PAIRS: dict[str, tuple[str, str | None]] = {
     ),
     "fs8_substring": ("SELECT SUBSTRING(p_name, 2, 3) AS a, SUBSTRING(p_name, 0, 2) AS b, SUBSTRING(p_name, 4) AS c FROM 'part.parquet'", "SELECT substring(p_name, 2, 3) AS a, substring(p_name, 1, 2) AS b, substring(p_name, 4) AS c FROM part"),
     "fs9_replace": ("SELECT REPLACE(p_type, 'BRASS', 'x') AS r FROM 'part.parquet'", None),
-    "fs10_split": ("SELECT o_orderkey, TO_STRING(SPLIT(o_orderpriority, '-')) AS s FROM 'orders.parquet' WHERE o_orderkey < 100", "SELECT o_orderkey, '[' || array_to_string(string_split(o_orderpriority, '-'), ', ') || ']' AS s FROM orders WHERE o_orderkey < 100"),
+    "fs10_split": ("SELECT o_orderkey, TO_STRING(SPLIT(o_orderpriority, '-')) AS s FROM 'orders.parquet'", "SELECT o_orderkey, '[' || array_to_string(string_split(o_orderpriority, '-'), ', ') || ']' AS s FROM orders"),
     "fs11_reverse": ("SELECT REVERSE(n_name) AS r FROM 'nation.parquet'", None),
     "fs12_fs14_tests": ("SELECT CONTAINS(n_name, 'AN') AS c, STARTS_WITH(n_name, 'A') AS s, ENDS_WITH(n_name, 'A') AS e FROM 'nation.parquet'", "SELECT contains(n_name, 'AN') AS c, starts_with(n_name, 'A') AS s, ends_with(n_name, 'A') AS e FROM nation"),
     "fs15_repeat": ("SELECT REPEAT(r_name, 3) AS r FROM 'region.parquet'", None),
@@ -251,11 +254,7 @@ def _csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from millrace.__main__ import main
-
-    out = io.StringIO()
-    main(["-q", "SELECT n_name FROM nation.parquet ORDER BY n_name", "-limit", "3", os.path.join(sf_dir, "nation.parquet")], spark=spark, out=out)
-    return spark.createDataFrame([(line,) for line in out.getvalue().splitlines()], "line string")
+    return _printed(spark, ["-q", "SELECT n_name FROM nation.parquet ORDER BY n_name", "-limit", "3", os.path.join(sf_dir, "nation.parquet")])
 
 
 def _programmatic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,14 +265,111 @@ def _programmatic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.apply_limit_offset(api.apply_order_by(api.apply_select_list(kept, "s_suppkey, ROUND(s_acctbal) AS bal"), "bal DESC, s_suppkey"), 5, 1)
 
 
+def _schema_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _printed(spark, ["--schema", "-f", "csv", os.path.join(sf_dir, "nation.parquet")])
+
+
+def _formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows in each output format, by formatters of one protocol, and the complaint about an unknown one."""
+    file = os.path.join(sf_dir, "region.parquet")
+    out = None
+    for name in ("json", "jsonl", "csv", "xml"):
+        part = _printed(spark, ["-q", "SELECT r_name FROM region.parquet", "-f", name, file]).select(F.lit(name).alias("format"), "line")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _printed(spark: SparkSession, arguments: list[str]) -> DataFrame:
+    """What the command line prints, its errors included."""
+    from millrace.__main__ import main
+
+    out = io.StringIO()
+    main(arguments, spark=spark, out=out, err=out)
+    return spark.createDataFrame([(line,) for line in out.getvalue().splitlines()], "line string")
+
+
+def _complaints(queries: dict[str, str]) -> Callable[[SparkSession, str], DataFrame]:
+    """How each query is refused: the kind of error, or none."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = []
+        for name, text in queries.items():
+            try:
+                Engine(spark, sf_dir).sql(text)
+                rows.append((name, "none"))
+            except QueryError as e:
+                rows.append((name, type(e).__name__))
+        return spark.createDataFrame(rows, "query string, error string")
+
+    return run
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of its queries use window functions, and where they have subqueries."""
+    texts = {
+        "plain": "SELECT n_name FROM nation.parquet WHERE n_regionkey = 1",
+        "window": "SELECT ROW_NUMBER() OVER (ORDER BY n_name) AS i FROM nation.parquet",
+        "where": "SELECT n_name FROM nation.parquet WHERE n_regionkey IN (SELECT r_regionkey FROM region.parquet)",
+        "select": "SELECT (SELECT MAX(r_regionkey) FROM region.parquet) AS m FROM nation.parquet",
+    }
+    rows = [(k, inspect.has_window_function(q), inspect.has_subquery_in_where(q), inspect.has_subquery_in_select(q)) for k, q in ((k, parse(t)) for k, t in texts.items())]
+    return spark.createDataFrame(rows, "query string, windows boolean, in_where boolean, in_select boolean")
+
+
+def _values(columns: str, rows: list[tuple]) -> str:
+    """A statement that gives fixed rows."""
+    show = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v).upper()
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) AS t({columns})"
+
+
+_LIMITED = {
+    "bytes": "SELECT n_name FROM nation.parquet WHERE n_name = '" + "x" * (1 << 20) + "'",
+    "tokens": "SELECT n_name FROM nation.parquet WHERE n_regionkey IN (" + ", ".join(["1"] * 600) + ")",
+    "depth": "SELECT n_name FROM nation.parquet WHERE " + "(" * 120 + "n_regionkey = 1" + ")" * 120,
+    "column": "SELECT " + "c" * 300 + " FROM nation.parquet",
+    "table": "SELECT n_name FROM '" + "t" * 5000 + "'",
+    "within": "SELECT n_name FROM nation.parquet WHERE n_regionkey IN (" + ", ".join(["1"] * 400) + ")",
+}
+_WINDOWS = {
+    "no over": "SELECT ROW_NUMBER() AS i FROM nation.parquet",
+    "rank without over": "SELECT n_name, RANK() FROM nation.parquet",
+    "named window": "SELECT ROW_NUMBER() OVER w AS i FROM nation.parquet WINDOW w AS (ORDER BY n_name)",
+    "over": "SELECT ROW_NUMBER() OVER (ORDER BY n_name) AS i FROM nation.parquet",
+}
+
 CODE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "flagship": (flagship, None),
     "s5_s6_a14_glob_by_file": (_by_file, "SELECT 'region.parquet' AS file, COUNT(*) AS n FROM region"),
-    "s10_schema": (lambda spark, sf_dir: schema_table(spark, f"{sf_dir}/embeddings.parquet"), None),
+    "s10_schema": (
+        lambda spark, sf_dir: schema_table(spark, f"{sf_dir}/embeddings.parquet").unionByName(schema_table(spark, f"{sf_dir}/nation.parquet")),
+        _values(
+            "name, type, physical_type, logical_type, required, optional, repeated",
+            [
+                ("vec_id", "INT64", "INT64", "", False, True, False),
+                ("embedding", "FLOAT32", "FLOAT", "", False, False, True),
+                ("label", "INT32", "INT32", "", False, True, False),
+                ("n_nationkey", "INT32", "INT32", "", False, True, False),
+                ("n_name", "STRING", "BYTE_ARRAY", "STRING", False, True, False),
+                ("n_regionkey", "INT32", "INT32", "", False, True, False),
+            ],
+        ),
+    ),
     "k2_json_lines": (_json_lines, "SELECT '{\"r_name\":\"' || r_name || '\",\"r_regionkey\":' || r_regionkey || '}' AS line FROM region"),
     "k3_k5_csv_lines": (_csv_lines, "SELECT c_custkey || ',' || c_mktsegment || ',' || c_name || ',''=' || c_name AS line FROM (SELECT * FROM customer)"),
     "u1_u3_custom_function": (_custom_function, "SELECT n_name, substr(n_name, 1, 2) AS i FROM nation"),
     "u5_library_calls": (_programmatic, "SELECT s_suppkey, round(s_acctbal) AS bal FROM supplier WHERE s_acctbal > 0 AND s_nationkey IN (1, 2, 3) ORDER BY bal DESC, s_suppkey LIMIT 5 OFFSET 1"),
+    "s14_schema_mode": (
+        _schema_mode,
+        _values("line", [("logical_type,name,optional,physical_type,repeated,required,type",), (",n_nationkey,true,INT32,false,false,INT32",), ("STRING,n_name,true,BYTE_ARRAY,false,false,STRING",), (",n_regionkey,true,INT32,false,false,INT32",)]),
+    ),
+    "k1_k6_formats": (
+        _formats,
+        "SELECT f AS format, '{\"r_name\":\"' || r_name || '\"}' AS line FROM region, (VALUES ('json'), ('jsonl')) AS t(f) UNION ALL SELECT 'csv', r_name FROM region "
+        "UNION ALL SELECT 'csv', 'r_name' UNION ALL SELECT 'xml', 'Error: unsupported format: xml; use json, jsonl or csv'",
+    ),
+    "w13_over_is_needed": (_complaints(_WINDOWS), _values("query, error", [(k, "none" if k == "over" else "SyntaxProblem") for k in _WINDOWS])),
+    "w14_questions": (_questions, _values("query, windows, in_where, in_select", [("plain", False, False, False), ("window", True, False, False), ("where", False, True, False), ("select", False, False, True)])),
+    "u6_limits": (_complaints(_LIMITED), _values("query, error", [(k, "none" if k == "within" else "LimitProblem") for k in _LIMITED])),
     "u7_command_line": (_command_line, "SELECT '{\"n_name\":\"' || n_name || '\"}' AS line FROM nation ORDER BY n_name LIMIT 3"),
 }
 

@@ -80,7 +80,3 @@ class Tables:
         if name in self.pending:
             raise BindingProblem(f"forward CTE reference: {name} is defined later")
         return self.parent.find(name) if self.parent else None
-
-
-def plan_column(entry: Entry) -> Column:
-    return F.col(entry.unique)

@@ -40,6 +40,5 @@ def test_matches(spark, oracle, key):
     assert a == b
 
 
-@pytest.mark.parametrize("key", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
-def test_runs(spark, key):
-    assert catalogue.queries()[key](spark, TABLES).count() >= 0
+def test_each_query_has_an_oracle():
+    assert set(catalogue.queries()) == set(catalogue.oracle_sql())

@@ -227,3 +227,15 @@ def test_pushdown_and_pruning(spark, tmp_path):
     plan = Engine(spark).sql(f"SELECT b FROM '{path}' WHERE id = 7 AND b > 3")._jdf.queryExecution().toString()
     assert "ReadSchema: struct<id:bigint,b:bigint>" in plan
     assert "EqualNullSafe(id,7)" in plan or "EqualTo(id,7)" in plan
+
+
+def test_dates_by_length(engine, spark):
+    """Each accepted layout is read whatever its length suggests; what isn't one is refused."""
+    texts = ["2024-01-31", "2024-01-31 10:20:30", "2024-01-31T10:20:30", "2024-01-31T10:20:30Z", "2024-01-31T10:20:30+02:00", None]
+    engine.register_table("dates", spark.createDataFrame([(t,) for t in texts], "t string"))
+    got = [r["y"] for r in engine.sql("SELECT DATE_ADD(t, 1, 'day') AS y FROM dates").collect()]
+    assert got == ["2024-02-01T00:00:00Z", "2024-02-01T10:20:30Z", "2024-02-01T10:20:30Z", "2024-02-01T10:20:30Z", got[4], None] and got[4] is not None
+    for wrong in ("2024-13-01", "2024/01/01", "2024-01-31x10:20:30", "31.1.2024", ""):
+        engine.register_table("bad", spark.createDataFrame([(wrong,)], "t string"))
+        with pytest.raises(Exception, match="cannot parse date"):
+            engine.sql("SELECT YEAR(t) AS y FROM bad").collect()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
         set_here = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = set_here.get() if set_here.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="millrace-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -87,8 +89,9 @@ def ship(spark: SparkSession) -> None:
 
 _shipped: set[str] = set()
 
-def small_batches(spark: SparkSession) -> None:
-    """At most 1000 rows to a Python worker at once, as texts may be long."""
+def ready(spark: SparkSession) -> None:
+    """What an operator with Python workers needs: this package there, and at most 1000 rows at once, as texts may be long."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._common import dropped, scratch, table, written
+from millrace.llm._common import dropped, ready, scratch, table, written
 
 BITS, SUB = 256, 16
 FIT_ROWS, FIT_QUERIES, WITHIN = 4096, 256, 0.99
@@ -189,6 +189,7 @@ def _blocks(queries: DataFrame, d: int) -> Iterator[tuple[np.ndarray, np.ndarray
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean) of the ``k`` nearest found of each query row; ``vectors`` is vec_id, embedding."""
     spark = vectors.sparkSession
+    ready(spark)
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
     order = F.crc32(F.concat(F.lit("fit/"), F.col("vec_id").cast("string")).cast("binary"))
     sample = rows.withColumn("order", order).orderBy("order", "vec_id").limit(FIT_ROWS).select("embedding").collect()

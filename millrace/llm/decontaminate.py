@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._common import Shared, batches, held, mix, small_batches, table, windows, word_hashes
+from millrace.llm._common import Shared, batches, held, mix, ready, table, windows, word_hashes
 
 MAX_EDITS = 0.2
 SEED_WORDS = 3
@@ -320,7 +320,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[tuple[list, list]]:
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and item found in it: where, how many words, and at how many edits."""
     spark = docs.sparkSession
-    small_batches(spark)
+    ready(spark)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out: DataFrame | None = None
     for ids, bodies in _blocks(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))):
@@ -332,7 +332,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in whose text no item is found, with all their columns; nothing is shuffled."""
     spark = docs.sparkSession
-    small_batches(spark)
+    ready(spark)
     for ids, bodies in _blocks(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))):
         docs = docs.where(~_leaky(Shared(spark, pickle.dumps((ids, bodies))))(F.col("text").cast("string")))
     return docs

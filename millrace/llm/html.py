@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._common import table
+from millrace.llm._common import ready, table
 
 _TAG = re.compile(r"<(?:!--(?:.*?)(?:-->|\Z)|[!?][^>]*(?:>|\Z)|/([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"""(?:class|id|role|itemprop|aria-label|hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -558,6 +558,7 @@ def extract(pages: list, model: Extractor) -> list[str]:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """``pages`` (page_id, url, html) to page_id, url, text and n_chars."""
+    ready(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(pickle.dumps(trained()))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

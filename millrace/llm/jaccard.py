@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._common import batches, dropped, free, likely, mix, scratch, small_batches, table, windows, word_hashes, written
+from millrace.llm._common import batches, dropped, free, likely, mix, ready, scratch, table, windows, word_hashes, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, RECALL = 20, 0.995
@@ -407,7 +407,7 @@ def matched(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[Data
     Documents with their sets; sets; (rep, class, links) of texts with candidates; and, by level of the
     forest, the texts that are matched there (rep, depth).
     """
-    small_batches(docs.sparkSession)
+    ready(docs.sparkSession)
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
     signed_as = "doc long, set_a long, set_b long, n long, trees array<long>"
     every = texts.mapInArrow(_sign(*levels()[0]), signed_as)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from millrace.llm._common import held, small_batches, table, written
+from millrace.llm._common import held, ready, table, written
 
 TIERS = (256, 512, 1024, 2048)
 END = 1
@@ -274,7 +274,7 @@ def _pack_left(key: tuple[pa.Scalar, ...], frame: pa.Table) -> pa.Table:
 def pack(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """One row per piece; ``tier`` is the size of its window and ``step_group`` the group of windows it trains with."""
     spark = docs.sparkSession
-    small_batches(spark)
+    ready(spark)
     with open(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
         body = file.read()
     spec = spark.sparkContext.broadcast((body, merge_ranks(json.loads(body))))

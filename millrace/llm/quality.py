@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._common import batches, free, small_batches, table, written
+from millrace.llm._common import batches, free, ready, table, written
 
 CHUNK, APART, WIDTH, STEP = 256, 192, 8, 2
 BLOCK = 64  # chunk and distance are multiples of it
@@ -241,7 +241,7 @@ def sampled(docs: DataFrame, labels: DataFrame, train_on: Column) -> tuple[DataF
 def fit(docs: DataFrame, labels: DataFrame, train_on: Column) -> Network:
     """A network from a sample of the rows for which ``train_on``, a condition on ``label_of``, holds."""
     spark = docs.sparkSession
-    small_batches(spark)
+    ready(spark)
     rows, sizes = sampled(docs, labels, train_on)
     some = rows.mapInArrow(_pick_chunks, "chunks binary, label int").toPandas()
     total = sum(sizes.values())

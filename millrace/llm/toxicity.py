@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._common import Shared, batches, free, held, likely, mix, small_batches, table, written
+from millrace.llm._common import Shared, batches, free, held, likely, mix, ready, table, written
 
 GRAM_BITS = {6: 22, 4: 21}
 CONTEXT_BITS = {6: 21, 4: 19}
@@ -408,7 +408,7 @@ def load(tables: dict[str, np.ndarray]) -> dict[str, float]:
 def fit(docs: DataFrame, labels: DataFrame, train: Column):
     """A broadcast model of both classes from all training rows; ``train`` is a condition on ``label_of``, the document's id."""
     spark = docs.sparkSession
-    small_batches(spark)
+    ready(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
 
-from millrace.llm._common import flagged, scratch, table, written
+from millrace.llm._common import flagged, ready, scratch, table, written
 
 NAME = "millrace_warc"
 END = "\r\n\r\n"
@@ -252,6 +252,7 @@ def _batch(rows: list[tuple[dict[str, str], bytes | None]]) -> pa.RecordBatch:
 def read_warc(spark: SparkSession, path: str, payload: bool = True, resolver: str = "") -> DataFrame:
     """Records of the archives under ``path``; filters are pushed down where the session's
     ``spark.sql.python.filterPushdown.enabled`` is on, and applied by Spark where it isn't."""
+    ready(spark)
     spark.dataSource.register(WarcSource)
     pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
     return spark.read.format(NAME).options(payload=str(payload).lower(), resolver=resolver, pushdown=pushdown).load(path)

@@ -436,8 +436,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column):
             into[np.frombuffer(bytes(row["at"]), np.uint16)] = np.frombuffer(bytes(row["n"]), np.int64)
         return tables
 
-    tables = take("first ")
-    shared = _ship(spark, tables)
+    shared = _ship(spark, take("first "))
 
     def look(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _model(shared)
@@ -451,9 +450,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column):
     some = one.select("row.text", "row.label").mapInArrow(look, "x array<double>, label int").toPandas()
     y = some["label"].to_numpy(dtype=float) if len(some) else np.zeros(0)
     shared.destroy()
-    tables = take("")
     prior = float((y.sum() + 0.5) / (len(y) + 1.0))
-    return _ship(spark, tables, _logistic(np.stack(some["x"].to_numpy()), y) if 0 < y.sum() < len(y) else None, prior)
+    return _ship(spark, take(""), _logistic(np.stack(some["x"].to_numpy()), y) if 0 < y.sum() < len(y) else None, prior)
 
 
 def scorer(shared):

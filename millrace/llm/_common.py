@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -33,8 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; ``settled`` drops those that were taken within it."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if (taken := _taken.get()) is not None:
+        taken.append(path)
+    return path
+
+
+_taken: ContextVar[list[str] | None] = ContextVar("taken", default=None)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -52,6 +60,20 @@ def dropped(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], path: str) -> DataFrame:
+    """What ``make`` returns, as a table at ``path``; the scratch that this took is dropped, as no later plan reads it."""
+    taken: list[str] = []
+    token = _taken.set(taken)
+    try:
+        df = make()
+        df.write.parquet(path)
+    finally:
+        _taken.reset(token)
+        for each in taken:
+            dropped(spark, each)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 ID_BITS = 23
 
 
@@ -90,9 +112,16 @@ def ship(spark: SparkSession) -> None:
 _shipped: set[str] = set()
 
 def ready(spark: SparkSession) -> None:
-    """What an operator with Python workers needs: this package there, and at most 1000 rows at once, as texts may be long."""
+    """What an operator with Python workers needs: this package there, and at most 1000 rows at once, as texts may be long.
+
+    A smaller number that the session has stays.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    if not 0 < int(spark.conf.get(_AT_ONCE, "0")) <= 1000:  # none or below 1: all rows at once
+        spark.conf.set(_AT_ONCE, "1000")
+
+
+_AT_ONCE = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 class Shared:

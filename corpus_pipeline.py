@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept.  ``run``
 writes what a stage returns to the shared folder and reads it again for the next, so that a
-lost executor costs no earlier stage.  All stages but the last return the columns of their
+lost executor costs no earlier stage; what a stage read and its own scratch are deleted then.
+All stages but the last return the columns of their
 input.
 """
 
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import decontaminate, jaccard, packing, quality, toxicity
-from millrace.llm._common import ship, table, written
+from millrace.llm._common import dropped, scratch, settled, ship, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +54,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        path = scratch(spark, name)
+        docs = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), path)
+        if before:
+            dropped(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

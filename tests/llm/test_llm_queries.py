@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from millrace.llm import catalogue
-from millrace.llm._common import table
+from millrace.llm._common import ready, scratch, settled, shared_dir, table, written
 
 TABLES = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="no tables here")
@@ -38,4 +38,36 @@ def test_pipeline(spark):
             assert kept <= begun
             last = kept
     assert {r["doc_id"] for r in docs.select("doc_id").collect()} == last
-    assert corpus_pipeline.run(spark, TABLES).count() > 0
+    begun = set(os.listdir(_local(spark)))
+    packed = corpus_pipeline.run(spark, TABLES)
+    assert {r["doc_id"] for r in packed.select("doc_id").collect()} == last
+    left = {name.split("-")[0] for name in set(os.listdir(_local(spark))) - begun}
+    assert "decontamination" in left  # the last stage reads it
+    assert not left & {"toxicity", "quality", "near_duplicates", "counts", "sample", "signed", "sets", "members", "classes"}
+
+
+def _local(spark):
+    return shared_dir(spark).removeprefix("file:")
+
+
+def test_settled_drops_its_scratch_only(spark):
+    mine = scratch(spark, "kept")
+    spark.range(3).write.parquet(mine)
+    out = settled(spark, lambda: written(spark.range(5), "within").where("id > 1"), scratch(spark, "out"))
+    assert out.count() == 3 and os.path.isdir(mine.removeprefix("file:"))
+    assert not [name for name in os.listdir(_local(spark)) if name.startswith("within-")]
+    with pytest.raises(ZeroDivisionError):
+        settled(spark, lambda: written(spark.range(5), "within").limit(1 // 0), scratch(spark, "out"))
+    assert not [name for name in os.listdir(_local(spark)) if name.startswith("within-")]
+
+
+@pytest.mark.parametrize("had, has", [("10000", "1000"), ("0", "1000"), ("200", "200")])
+def test_rows_at_once(spark, had, has):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, had)
+        ready(spark)
+        assert spark.conf.get(key) == has
+    finally:
+        spark.conf.set(key, before)

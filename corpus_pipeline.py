@@ -3,8 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept.  ``run``
 writes what a stage returns to the shared folder and reads it again for the next, so that a
 lost executor costs no earlier stage; what a stage read and its own scratch are deleted then.
-All stages but the last return the columns of their
-input.
+All stages but the last return the columns of their input.
 """
 
 from __future__ import annotations

@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
         set_here = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = set_here.get() if set_here.isDefined() else None
     if not named:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="millrace-")
         spark.sparkContext.setCheckpointDir(named)

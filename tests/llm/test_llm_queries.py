@@ -1,6 +1,7 @@
 """Registered queries and the pipeline, on the smallest tables."""
 
 import os
+from unittest.mock import MagicMock
 
 import duckdb
 import pytest
@@ -50,6 +51,24 @@ def _local(spark):
     return shared_dir(spark).removeprefix("file:")
 
 
+@pytest.mark.parametrize("master, fits", [("local", True), ("local[4]", True), ("local[*]", True), ("local-cluster[2,1,1024]", False), ("yarn", False), ("spark://host:7077", False)])
+def test_own_folder_on_one_machine_only(master, fits):
+    session = MagicMock()
+    session.conf.get.return_value = None
+    context = session.sparkContext
+    context.master = master
+    held = context._jsc.sc().getCheckpointDir()
+    held.isDefined.return_value = False
+    held.get.return_value = "file:/own/"
+    if fits:
+        assert shared_dir(session) == "file:/own"
+        context.setCheckpointDir.assert_called_once()
+        os.rmdir(context.setCheckpointDir.call_args.args[0])
+    else:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(session)
+
+
 def test_settled_drops_its_scratch_only(spark):
     mine = scratch(spark, "kept")
     spark.range(3).write.parquet(mine)

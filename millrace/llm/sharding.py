@@ -73,13 +73,21 @@ def placed(key: Column, node: Node) -> Column:
         return F.lit(node.shard)
     if len(node.children) == 1:
         return placed(key, node.children[0])
-    best = F.least(*[F.struct(draw(key, c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(node.children)])["i"]
+    least = F.least(*[F.struct(draw(key, c).alias("d"), F.lit(i).alias("i"), F.lit(c.shard).alias("s")) for i, c in enumerate(node.children)])
+    if not any(c.children for c in node.children):
+        return least["s"]  # drawn once: each comparison with an index below draws anew
+    best = least["i"]
     chosen = placed(key, node.children[-1])
     for i, child in reversed(list(enumerate(node.children[:-1]))):
         chosen = F.when(best == i, placed(key, child)).otherwise(chosen)
     return chosen
 
 
+def extended(topology: Node, larger: Node | None) -> bool:
+    """Whether ``larger`` is ``topology`` with one more child, the last, at the root."""
+    return larger is not None and bool(topology.children) and larger.children[:-1] == topology.children
+
+
 def assign(df: DataFrame, topology: Node, key: str = "doc_id", text: str = "text", larger: Node | None = None) -> DataFrame:
     """One row per input row: key, size, text_crc32, shard, slot, grown_shard.
 
@@ -89,16 +97,23 @@ def assign(df: DataFrame, topology: Node, key: str = "doc_id", text: str = "text
     afterwards.  What is broadcast is one offset a bucket, at most 4096 a shard.  Texts are read
     once: what is numbered is a table of keys, sizes and CRCs in the shared folder.
     """
-    as_text = F.coalesce(F.col(key).cast("string"), F.lit("null"))
+    as_text = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("null"))
     body = F.coalesce(F.col(text), F.lit(""))
+    moves, grown_shard = F.lit(None).cast("boolean"), F.lit(None).cast("int")
+    if extended(topology, larger):  # a row moves if the new child's draw is below all others, else it stays: no second descent
+        there = [draw(as_text(key), c) for c in topology.children]
+        moves = draw(as_text(key), larger.children[-1]) < (F.least(*there) if len(there) > 1 else there[0])
+        grown_shard = F.when(F.col("moves"), placed(as_text("k"), larger.children[-1])).otherwise(F.col("shard"))
+    elif larger:
+        grown_shard = placed(as_text("k"), larger)
     rows = df.select(
         F.col(key).alias("k"),
         (F.octet_length(body).cast("bigint") + 1).alias("size"),
         F.crc32(body.cast("binary")).alias("crc"),
-        placed(as_text, topology).alias("shard"),
-        (placed(as_text, larger) if larger else F.lit(None).cast("int")).alias("grown"),
-    )
-    bucket = F.conv(F.substring(F.md5(F.concat_ws("/", F.coalesce(F.col("k").cast("string"), F.lit("null")), F.col("crc")).cast("binary")), 1, BUCKET_DIGITS), 16, 10).cast("int")
+        placed(as_text(key), topology).alias("shard"),
+        moves.alias("moves"),
+    ).select("k", "size", "crc", "shard", grown_shard.alias("grown"))
+    bucket = F.conv(F.substring(F.md5(F.concat_ws("/", as_text("k"), F.col("crc")).cast("binary")), 1, BUCKET_DIGITS), 16, 10).cast("int")
     same = written(rows.groupBy("shard", bucket.alias("bucket"), "k", "size", "crc", "grown").agg(F.count(F.lit(1)).alias("n")), "same")
     within = Window.partitionBy("shard", "bucket")
     ahead = within.orderBy(F.col("k").asc_nulls_first(), "size", "crc").rowsBetween(Window.unboundedPreceding, -1)

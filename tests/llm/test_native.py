@@ -1,5 +1,7 @@
 """Chat formatting and sharding."""
 
+import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -129,3 +131,32 @@ def test_nested_growth(spark, n):
         larger = sharding.grown(topology, 16 + k)
         assert all(r["grown_shard"] in (r["shard"], 16 + k) for r in shards(df, topology, larger))
         topology = larger
+
+
+def descended(key, node):
+    """The shard of a key, node by node."""
+    while node.children:
+        draws = [-math.log((int(hashlib.md5(f"{c.name}/{key}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48) / c.weight for c in node.children]
+        node = node.children[draws.index(min(draws))]
+    return node.shard
+
+
+UNEVEN = sharding.branch("root", [sharding.leaf("a", 0, 2.0), sharding.branch("b", [sharding.branch("c", [sharding.leaf("d", 1), sharding.leaf("e", 2, 0.5)]), sharding.leaf("f", 3)]), sharding.leaf("g", 4)])
+ONE = sharding.balanced(1, 2, 3)
+TWO_MORE = sharding.branch("root", [*ONE.children, sharding.branch("n", [sharding.leaf("n0", 6), sharding.leaf("n1", 7, 2.0)])])
+
+
+@pytest.mark.parametrize("topology, larger", [(sharding.BASE, sharding.LARGER), (UNEVEN, sharding.grown(UNEVEN, 5)), (ONE, TWO_MORE), (ONE, UNEVEN), (sharding.leaf("x", 3), sharding.grown(sharding.leaf("x", 3), 4))])
+def test_sharding_node_by_node(spark, topology, larger):
+    for r in shards(documents(spark, [(i, "") for i in range(-500, 1000)] + [(None, "")]), topology, larger):
+        key = "null" if r["doc_id"] is None else r["doc_id"]
+        assert (r["shard"], r["grown_shard"]) == (descended(key, topology), descended(key, larger))
+
+
+def test_sharding_draws_once_a_node(spark, monkeypatch):
+    """One hash for each node of both topologies, the old ones at the root once more, and one for the bucket."""
+    plans = []
+    write = sharding.written
+    monkeypatch.setattr(sharding, "written", lambda df, label: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, label))
+    shards(documents(spark, [(1, "a")]))
+    assert plans[0].count("md5(") <= (2 + 4 + 16) + (1 + 2) + 1
